@@ -39,28 +39,36 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def class_counts(text: Column) -> list[Column]:
-    upper, digit = count_of(text, r"\p{Lu}+"), count_of(text, "[0-9]+")
-    mark, symbol, blank = count_of(text, r"[.,;:!?'\"()\-]+"), count_of(text, r"[#*$%&|<>]+"), count_of(text, BLANK + "+")
-    named = dict(zip(CLASSES, (upper, digit, mark, symbol, blank), strict=False))
-    return [c.alias(f"c_{n}") for n, c in named.items()] + [F.length(text).alias("c_rest")]
+UPPER, DIGIT, MARK, SYMBOL = r"\p{Lu}", "0-9", r".,;:!?'\"()\-", "#*$%&|<>"
+
+
+def common_only(text: Column, words: str) -> Column:
+    """The text without the words that aren't in the list."""
+    return F.regexp_replace(text, rf"(?<![^ \t-\r])(?!(?:{'|'.join(words.split())})(?![^ \t-\r]))[^ \t-\r]++", "")
 
 
 def measured(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """The table with __text, __lang, __words, class counts and common-word counts."""
-    t = whole(text)
-    key = F.coalesce(F.col(lang).cast("string"), F.lit(""))
-    lists = F.lit(OTHERS.replace(" ", ","))
+    """The table with __text, __lang, n_chars, class counts c_* and common-word counts w_*."""
+    df = docs.select("*", whole(text).alias("__text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("__lang"))
+    low = F.lower("__text")
+    named = {**COMMON, None: OTHERS}
+    lists, common = F.lit(OTHERS.replace(" ", ",")), common_only(low, OTHERS)
     for name, words in COMMON.items():
-        lists = F.when(key == name, F.lit(words.replace(" ", ","))).otherwise(lists)
-    df = docs.select("*", t.alias("__text"), key.alias("__lang"), lists.alias("__list"))
-    df = df.select("*", words_of(F.col("__text")).alias("__words"), *class_counts(F.col("__text")))
-    df = df.withColumn("c_rest", F.col("c_rest") - sum((F.col(f"c_{c}") for c in CLASSES[:-1]), F.lit(0)))
-    codes = F.array_join(F.transform("__words", lambda w: F.chr(F.find_in_set(F.lower(w), F.col("__list")) + 64)), "")
-    df = df.withColumn("__codes", F.array_join(F.array(codes), ""))
-    bins = [(F.length("__codes") - F.length(F.replace(F.col("__codes"), F.lit(chr(65 + k)), F.lit("")))).alias(f"w_{k}") for k in range(BINS)]
-    df = df.select("*", F.size("__words").cast("long").alias("n_words"), *bins)
-    return df.withColumn(f"w_{BINS}", F.col("n_words") - sum((F.col(f"w_{k}") for k in range(BINS)), F.lit(0)))
+        lists = F.when(F.col("__lang") == name, F.lit(words.replace(" ", ","))).otherwise(lists)
+        common = F.when(F.col("__lang") == name, common_only(low, named[name])).otherwise(common)
+    # letters of the class "rest" go in one pass, so that the counts run over what is left
+    special = F.regexp_replace("__text", rf"[^{UPPER}{DIGIT}{MARK}{SYMBOL} \t-\r]++", "")
+    df = df.select("*", F.length("__text").alias("__chars"), special.alias("__special"), words_of(common).alias("__common"), lists.alias("__list"))
+    codes = F.array_join(F.transform("__common", lambda w: F.chr(F.find_in_set(w, F.col("__list")) + 64)), "")
+    classes = {"upper": f"[{UPPER}]+", "digit": f"[{DIGIT}]+", "mark": f"[{MARK}]+", "symbol": f"[{SYMBOL}]+", "blank": BLANK + "+"}
+    df = df.select("*", codes.alias("__codes"), *(count_of(F.col("__special"), c).alias(f"c_{n}") for n, c in classes.items()), (F.col("__chars") - F.length("__special")).alias("c_rest"))
+    return df.select("*", *((F.length("__codes") - F.length(F.replace(F.col("__codes"), F.lit(chr(65 + k)), F.lit("")))).alias(f"w_{k}") for k in range(BINS)))
+
+
+def counted(measures: DataFrame) -> DataFrame:
+    """With n_words and the bin of all words that aren't common."""
+    n = F.size(words_of(F.col("__text"))).cast("long")
+    return measures.withColumn("n_words", n).withColumn(f"w_{BINS}", F.col("n_words") - F.size("__common"))
 
 
 def references(measures: DataFrame) -> DataFrame:
@@ -84,9 +92,16 @@ def distance(own: list[Column], reference: list[Column]) -> Column:
 
 def repeated_words(words: Column, size: int = GRAM) -> Column:
     """Words that stand in windows of `size` words found twice or more in the text."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
     n = F.size(words)
-    grams = let(hashes, lambda h: F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size)))))
+    if size != GRAM:
+        raise ValueError("windows of five words are built here")
+    # hashes of 1, 2, 4 and 5 words, each from two of the ones before; shorter arrays leave nulls at the end, which are cut
+    both = lambda x, y: F.zip_with(x, y, lambda a, b: F.xxhash64(a, b))
+    from_ = lambda x, k, m: F.slice(x, k + 1, m)
+    one = F.transform(words, lambda w: F.xxhash64(w))
+    two = lambda h: both(F.slice(h, 1, n - 1), from_(h, 1, n - 1))
+    four = lambda h, t: both(F.slice(t, 1, n - 3), from_(t, 2, n - 3))
+    grams = let(one, lambda h: both(let(two(h), lambda t: F.slice(four(h, t), 1, n - 4)), from_(h, 4, n - 4)))
 
     def covered(g: Column) -> Column:
         placed = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -109,18 +124,19 @@ def verdicts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
     source = docs.select(*(F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(docs.columns)))
     names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
     t, g = names[text], names[lang]
-    refs = references(measured(source, t, g))
-    df = join_small(measured(source, t, g), refs, ["__lang"], F.col(names[doc_id]))
+    refs = references(counted(measured(source, t, g)))
+    df = join_small(measured(source, t, g).withColumn("__words", words_of(F.col("__text"))), refs, ["__lang"], F.col(names[doc_id]))
+    df = df.withColumn("n_words", F.size("__words").cast("long")).withColumn(f"w_{BINS}", F.col("n_words") - F.size("__common"))
     known = F.coalesce(F.col("r_words"), F.lit(0)) >= min_reference
     chars = distance([F.col(f"c_{c}") for c in CLASSES], [F.col(f"rc_{c}") for c in CLASSES])
     common = distance([F.col(f"w_{k}") for k in range(BINS + 1)], [F.col(f"rw_{k}") for k in range(BINS + 1)])
     lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     df = df.select(
         *names.values(), "n_words", "__text", "__words",
-        (F.length("__text") - F.col("c_blank")).cast("long").alias("word_chars"),
+        (F.col("__chars") - F.col("c_blank")).cast("long").alias("word_chars"),
         F.col("c_symbol").cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.when(known & (F.length("__text") >= min_chars), chars).otherwise(0.0).alias("class_distance"),
+        F.when(known & (F.col("__chars") >= min_chars), chars).otherwise(0.0).alias("class_distance"),
         F.when(known & (F.col("n_words") >= min_words), common).otherwise(0.0).alias("word_distance"),
     )
     df = df.withColumn("n_repeat_words", repeated_words(F.col("__words")))
