@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .hashing import BYTE_SYMBOLS, U64, Rolling, mix, sliding_min, word_hashes, word_spans
 
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 POSITION_BITS = 22
 NO_ID = (1 << 63) - 1
 #: Bytes of text in a block; a block is what one Python task holds at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 MIN_BLOCKS = 48
 
 
