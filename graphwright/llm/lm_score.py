@@ -22,14 +22,14 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import settled
+from .components import settled, tidy
 from .hashing import LOWER, U64, mix
 from .repeats import BLOCK_BYTES, NO_ID, dealt, ordered, raw, spread, word_symbols
 
@@ -226,18 +226,22 @@ class Model:
 
 
 def pairs_of_words(folds: int, model: Model) -> Callable:
-    """Counts of bigrams of frequent words (and the end, last) in a block's training texts."""
-
-    def run(table: pa.Table) -> pa.Table:
-        b = Block(table, folds)
-        n = len(model.words) + 1
-        at = model.index(b.words)
-        at[b.words == END] = n - 1
-        at = at[b.number]
-        prev = np.append(n - 1, at[:-1]) if len(at) else at
-        ok = b.train & (at >= 0) & (prev >= 0)
-        cell, count = np.unique(prev[ok] * n + at[ok], return_counts=True)
-        return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(count, pa.int64())})
+    """Counts of bigrams of frequent words (and the end, last) in training texts of (doc_id, text), which may lie in any order."""
+    n = len(model.words) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n * n, np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = Block(pa.Table.from_batches([whole.slice(at, 256)]), folds)
+                place = model.index(b.words)
+                place[b.words == END] = n - 1
+                place = place[b.number]
+                before = np.append(n - 1, place[:-1])
+                ok = b.train & (place >= 0) & (before >= 0)
+                total += np.bincount(before[ok] * n + place[ok], minlength=n * n)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
 
     return run
 
@@ -292,9 +296,10 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds:
         words, counts = words[best], counts[best]
     end = int(counts[words == END].sum())
     model = Model(bands, mass, words, counts)
-    pairs = by_block.applyInArrow(pairs_of_words(folds, model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    pairs = blocks.select("doc_id", "text").mapInArrow(pairs_of_words(folds, model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     table = np.zeros((len(model.words) + 1) ** 2, np.int64)
-    found = pairs.toArrow()  # FREQUENT ** 2 rows at most
+    with tidy(docs.sparkSession):
+        found = pairs.toArrow()  # FREQUENT ** 2 rows at most
     table[found["cell"].to_numpy()] = found["n"].to_numpy()
     table = table.reshape(len(model.words) + 1, -1)[:-1, :-1]
     by_count = np.lexsort((model.words, -model.counts))
@@ -303,8 +308,9 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds:
     model.set_classes(label, end)
     of_block = answers.where("dest >= 0").groupBy("dest")
     steps = np.zeros(model.n * model.n)
-    for cell, count in by_block.cogroup(of_block).applyInArrow(pairs_of_classes(n, folds, model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        steps[cell] = count
+    with tidy(docs.sparkSession):
+        for cell, count in by_block.cogroup(of_block).applyInArrow(pairs_of_classes(n, folds, model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            steps[cell] = count
     model.set_transitions(steps.reshape(model.n, model.n), prior)
     out = by_block.cogroup(of_block).applyInArrow(scored(n, folds, model), SCORES)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
