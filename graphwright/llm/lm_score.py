@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import settled, tidy
 from .hashing import LOWER, U64, mix
-from .repeats import BLOCK_BYTES, NO_ID, dealt, ordered, raw, spread, word_symbols
+from .repeats import BLOCK_BYTES, NO_ID, by_id, dealt, ordered, plain_docs, raw, spread, word_symbols
 
 FREQUENT = 1000
 CLASSES = 48
@@ -54,7 +54,7 @@ class Block:
     """Token hashes of a block's texts end to end, and which token belongs to which row; distinct words in the order of hashes."""
 
     def __init__(self, table: pa.Table, folds: int):
-        self.ids, texts = ordered(table)
+        self.ids, texts = by_id(table) if "text" in table.column_names else ordered(table)
         parts = []
         for i in range(len(texts)):
             parts += [word_symbols(LOWER[raw(texts, i)]), np.array([END])]
@@ -296,7 +296,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds:
         words, counts = words[best], counts[best]
     end = int(counts[words == END].sum())
     model = Model(bands, mass, words, counts)
-    pairs = blocks.select("doc_id", "text").mapInArrow(pairs_of_words(folds, model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    pairs = plain_docs(docs, doc_id, text).mapInArrow(pairs_of_words(folds, model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     table = np.zeros((len(model.words) + 1) ** 2, np.int64)
     with tidy(docs.sparkSession):
         found = pairs.toArrow()  # FREQUENT ** 2 rows at most

@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,22 +43,49 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
 
 
-def dealt(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(block, doc_id, text), one row per input row, and how many blocks there are. Rows of one id share a block.
+DEALT = "block int, body binary"
+
+
+def packed_docs(n: int) -> Callable:
+    """Batches of (doc_id, text) to one compressed packet for each block that they touch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            block = (mix(np.array(b.column(0)).astype(np.int64).view(U64)) % U64(n)).astype(np.int32)
+            order = np.argsort(block, kind="stable")
+            ends = np.flatnonzero(np.diff(block[order])) + 1
+            for rows in np.split(order, ends) if len(order) else ():
+                sink = pa.BufferOutputStream()
+                part = b.take(pa.array(rows))
+                with pa.ipc.new_stream(sink, part.schema) as w:
+                    w.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([block[rows[0]]], pa.int32()), pa.array([press.compress(sink.getvalue())], pa.binary())], names=["block", "body"])
+
+    return run
+
+
+def plain_docs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text): a null id counts as the largest, a null text as empty."""
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
-    A null id counts as the largest; a null text as empty.
-    """
+
+def dealt(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """(block, body) packets of documents, dealt by hash of the id, and how many blocks there are. Rows of one id share a block."""
     n = max(MIN_BLOCKS, math.ceil(text_bytes(docs, text) / block_bytes))
-    ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
-    return docs.select(
-        F.pmod(F.xxhash64(ids), F.lit(n)).cast("int").alias("block"),
-        ids.alias("doc_id"),
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-    ), n
+    return plain_docs(docs, doc_id, text).mapInArrow(packed_docs(n), DEALT), n
 
 
 def ordered(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    """Ids and texts of a block in the order of ids, then of texts, so that every pass sees one order."""
+    """Ids and texts of a block's packets in the order of ids, then of texts, so that every pass sees one order."""
+    press = zstandard.ZstdDecompressor()
+    parts = [pa.ipc.open_stream(press.decompress(body.as_buffer())).read_all() for body in table["body"]]
+    if not parts:
+        return np.zeros(0, np.int64), pa.array([], pa.string())
+    return by_id(pa.concat_tables(parts))
+
+
+def by_id(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
     table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return table["doc_id"].to_numpy(), table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
 
@@ -208,6 +236,12 @@ def spread(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(to[rows[0]]), rows
 
 
+def phrase_order(parse: Phrases, first: np.ndarray, doc: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, distinct phrases in the order in which the bucket's packet has them)."""
+    for to, rows in spread(parse.trigger[first], buckets):
+        yield to, rows[np.argsort(doc[rows], kind="stable")]
+
+
 def ask_phrases(symbols: Callable, width: int, gram: int, buckets: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         ids, texts = ordered(table)
@@ -215,40 +249,37 @@ def ask_phrases(symbols: Callable, width: int, gram: int, buckets: int) -> Calla
         first, _ = distinct(parse.trigger, parse.phrase)
         block, out = table["block"][0].as_py(), []
         doc = ids[parse.doc[first]]
-        for to, rows in spread(parse.trigger[first], buckets):
-            rows = rows[np.argsort(doc[rows], kind="stable")]
+        for to, rows in phrase_order(parse, first, doc, buckets):
             t, p = parse.trigger[first[rows]], parse.phrase[first[rows]]
-            body = low48(t) + low48(p) + planes(np.diff(doc[rows], prepend=0)) + rows.astype("<u4").tobytes()
-            out.append((to, block, ASK_PHRASE, len(rows), body))
+            out.append((to, block, ASK_PHRASE, len(rows), low48(t) + low48(p) + planes(np.diff(doc[rows], prepend=0))))
         return packets(out)
 
     return run
 
 
-def gathered(table: pa.Table, prints: int) -> tuple:
-    """Fingerprints, ids, number of the asking block's packet and its own row numbers, of all packets that ask."""
-    keys, docs, source, rows, blocks = [[] for _ in range(prints)], [], [], [], []
+def gathered(table: pa.Table, extra: int = 0) -> tuple:
+    """Both fingerprints, id, packet and place in it of all that packets ask, and as many more columns as extra says."""
+    columns: list[list] = [[] for _ in range(5 + extra)]
     for i, (n, body) in enumerate(zip(table["n"].to_pylist(), table["body"], strict=True)):
         view = memoryview(body.as_buffer())
-        for k in range(prints):
-            keys[k].append(of48(view[6 * n * k :], n))
-        at = 6 * n * prints
-        docs.append(np.cumsum(unplanes(view[at : at + 8 * n], n)))
-        rows.append(np.frombuffer(view[at + 8 * n : at + 12 * n], "<u4"))
-        source.append(np.full(n, i, np.int32))
-    blocks = table["block"].to_numpy()
-    return *(np.concatenate(k) for k in keys), np.concatenate(docs), np.concatenate(source), np.concatenate(rows), blocks
+        got = [of48(view, n), of48(view[6 * n :], n), np.cumsum(unplanes(view[12 * n : 20 * n], n)), np.full(n, i, np.int32), np.arange(n)]
+        got += [unplanes(view[20 * n + 8 * k * n : 28 * n + 8 * k * n], n) for k in range(extra)]
+        for c, x in zip(columns, got, strict=True):
+            c.append(x)
+    return tuple(np.concatenate(c) for c in columns)
 
 
-def replies(kind: int, source: np.ndarray, rows: np.ndarray, blocks: np.ndarray) -> list[tuple]:
+def grouped(source: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of each packet."""
     order = np.argsort(source, kind="stable")
-    ends = np.flatnonzero(np.diff(source[order])) + 1
-    return [(int(blocks[source[x[0]]]), int(blocks[source[x[0]]]), kind, len(x), np.sort(rows[x]).astype("<u4").tobytes()) for x in (np.split(order, ends) if len(order) else ())]
+    return iter(np.split(order, np.flatnonzero(np.diff(source[order])) + 1) if len(order) else ())
 
 
 def settle_phrases(table: pa.Table) -> pa.Table:
-    """For each asked phrase: whether an earlier document has it; whether its windows must be opened."""
-    trigger, phrase, doc, source, rows, blocks = gathered(table.combine_chunks(), 2)
+    """For each asked phrase: whether an earlier document has it; whether its windows must be opened. Replies name the bucket and places in its packet."""
+    table = table.combine_chunks()
+    trigger, phrase, doc, source, place = gathered(table)
+    blocks, bucket = table["block"].to_numpy(), table["dest"][0].as_py()
     order = np.lexsort((doc, phrase, trigger))
     t, p, d = trigger[order], phrase[order], doc[order]
     new_t = np.ones(len(t), bool)
@@ -261,17 +292,13 @@ def settle_phrases(table: pa.Table) -> pa.Table:
     covered = d > least[number]
     of_trigger = np.flatnonzero(new_t[heads])
     low, high = np.minimum.reduceat(least, of_trigger), np.maximum.reduceat(least, of_trigger)
-    open_ = np.repeat(low < high, np.diff(np.append(of_trigger, len(heads))))
-    opened = heads[open_]
-    return packets(
-        replies(COVERED, source[order[covered]], rows[order[covered]], blocks)
-        + replies(PENDING, source[order[opened]], rows[order[opened]], blocks)
-    )
-
-
-def numbers(table: pa.Table, kind: int) -> np.ndarray:
-    found = [np.frombuffer(b.as_buffer(), "<u4") for k, b in zip(table["kind"].to_pylist(), table["body"], strict=True) if k == kind]
-    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+    opened = heads[np.repeat(low < high, np.diff(np.append(of_trigger, len(heads))))]
+    out = []
+    for kind, rows in ((COVERED, order[covered]), (PENDING, order[opened])):
+        for k in grouped(source[rows]):
+            block = int(blocks[source[rows[k[0]]]])
+            out.append((block, bucket, kind, len(k), np.sort(place[rows[k]]).astype("<u4").tobytes()))
+    return packets(out)
 
 
 def expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -284,34 +311,38 @@ def expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def open_windows(symbols: Callable, width: int, gram: int, buckets: int) -> Callable:
     def run(key: tuple, table: pa.Table, verdicts: pa.Table) -> pa.Table:
-        if not table.num_rows or not verdicts.num_rows:
+        if not table.num_rows:
             return packets([])
         block, (ids, texts) = table["block"][0].as_py(), ordered(table)
         parse = Phrases(texts, symbols, width, gram)
         first, number = distinct(parse.trigger, parse.phrase)
-        verdicts = verdicts.combine_chunks()
-        is_covered, is_open = np.zeros(len(first), bool), np.zeros(len(first), bool)
-        is_covered[numbers(verdicts, COVERED)] = True
-        is_open[numbers(verdicts, PENDING)] = True
+        orders = dict(phrase_order(parse, first, ids[parse.doc[first]], buckets))
+        flags = {COVERED: np.zeros(len(first), bool), PENDING: np.zeros(len(first), bool)}
+        for bucket, kind, body in zip(*(verdicts[c].to_pylist() for c in ("block", "kind", "body")), strict=True):
+            flags[kind][orders[bucket][np.frombuffer(body, "<u4")]] = True
         doc = ids[parse.doc]
-        covered = is_covered[number] | (doc > doc[first][number])
-        spans = merged(parse.doc[covered], parse.start[covered], parse.count[covered].astype(np.int64) + width - 1)
-        out = [(block % buckets, block, SHARED, len(spans[0]), b"".join(x.astype("<i8").tobytes() for x in spans))]
-        asked = np.flatnonzero(is_open[number] & ~covered)
+        covered = flags[COVERED][number] | (doc > doc[first][number])
+        shared = [(parse.doc[covered], parse.start[covered], parse.count[covered].astype(np.int64) + width - 1)]
+        asked, out, home = np.flatnonzero(flags[PENDING][number] & ~covered), [], block % buckets
         if len(asked):
             prints = np.concatenate([window_prints(texts, symbols, parse, part, width) for part in np.array_split(asked, 1 + len(asked) // 4096)])
             where = np.repeat(asked, parse.count[asked])
-            at = expand(parse.start[asked], parse.count[asked])
+            row, at = parse.doc[where].astype(np.int64), expand(parse.start[asked], parse.count[asked])
             one, each = distinct(prints)
-            keys, docs = prints[one], doc[where[one]]
-            out.append((block % buckets, block, PENDING, len(each), b"".join(x.astype("<i8").tobytes() for x in (each, parse.doc[where], at))))
+            later = doc[where[one]][each] < doc[where]
+            shared.append((row[later], at[later], np.full(later.sum(), width)))
+            again = np.flatnonzero(~later & (one[each] != np.arange(len(each))))  # within one document
+            if len(again):
+                out.append((home, block, PENDING, len(again), b"".join(planes(x) for x in (row[one[each[again]]], at[one[each[again]]], row[again], at[again]))))
+            keys = prints[one]
             for to, rows in spread(keys, buckets):
-                rows = rows[np.argsort(docs[rows], kind="stable")]
-                body = low48(keys[rows]) + low48(mix(keys[rows] + U64(1))) + planes(np.diff(docs[rows], prepend=0)) + rows.astype("<u4").tobytes()
+                rows = rows[np.lexsort((at[one[rows]], row[one[rows]]))]
+                k, w = keys[rows], one[rows]
+                body = low48(k) + low48(mix(k + U64(1))) + b"".join(planes(np.diff(x, prepend=0)) for x in (doc[where[w]], row[w], at[w]))
                 out.append((to, block, ASK_WINDOW, len(rows), body))
-            later = docs[each] < doc[where]
-            spans = merged(parse.doc[where[later]], at[later], np.full(later.sum(), width))
-            out.append((block % buckets, block, SHARED, len(spans[0]), b"".join(x.astype("<i8").tobytes() for x in spans)))
+        spans = merged(*(np.concatenate(x) for x in zip(*shared, strict=True)))
+        if len(spans[0]):
+            out.append((home, block, SHARED, len(spans[0]), b"".join(planes(np.diff(x, prepend=0)) for x in spans)))
         return packets(out)
 
     return run
@@ -332,20 +363,34 @@ def window_prints(texts: pa.Array, symbols: Callable, parse: Phrases, asked: np.
 
 def settle_windows(table: pa.Table) -> pa.Table:
     """For each asked window: whether an earlier document has it. Other packets pass."""
-    kinds = np.array(table["kind"].to_pylist())
     table = table.combine_chunks()
+    kinds = table["kind"].to_numpy()
     passed = table.filter(pa.array(kinds != ASK_WINDOW))
-    passed = passed.set_column(0, "dest", passed["block"])
+    passed = passed.set_column(0, "dest", passed["block"]).cast(_SCHEMA)
     asked = table.filter(pa.array(kinds == ASK_WINDOW))
     if not asked.num_rows:
-        return passed.cast(_SCHEMA)
-    a, b, doc, source, rows, blocks = gathered(asked, 2)
+        return passed
+    a, b, doc, source, place, row, at = gathered(asked, 2)
+    blocks = asked["block"].to_numpy()
+    starts = np.cumsum(np.bincount(source)) - np.bincount(source)
+    row, at = (totals(x, starts, source) for x in (row, at))
     order = np.lexsort((doc, b, a))
     new = np.ones(len(a), bool)
     new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
     d = doc[order]
     later = order[d > d[np.flatnonzero(new)][np.cumsum(new) - 1]]
-    return pa.concat_tables([passed.cast(_SCHEMA), packets(replies(COVERED, source[later], rows[later], blocks))])
+    out = []
+    for k in grouped(source[later]):
+        rows = np.sort(later[k])
+        block = int(blocks[source[rows[0]]])
+        out.append((block, block, COVERED, len(rows), b"".join(planes(np.diff(x[rows], prepend=0)) for x in (row, at))))
+    return pa.concat_tables([passed, packets(out)])
+
+
+def totals(x: np.ndarray, starts: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """Running sums that start anew with each packet."""
+    sums = np.cumsum(x)
+    return sums - (sums[starts] - x[starts])[source]
 
 
 def merged(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -365,22 +410,24 @@ def merged(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.nd
 
 def spans_of(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal covered spans of a block from its packets."""
-    found, pending, covered = [], [], []
+    found, again, hits = [], [], []
     for kind, n, body in zip(table["kind"].to_pylist(), table["n"].to_pylist(), table["body"], strict=True):
-        data = np.frombuffer(body.as_buffer(), "<u4" if kind == COVERED else "<i8")
+        view = memoryview(body.as_buffer())
+        x = [unplanes(view[8 * k * n : 8 * (k + 1) * n], n) for k in range(len(view) // (8 * n))]
+        if kind == PENDING:
+            again.append(np.array(x))
+            continue
+        x = [np.cumsum(c) for c in x]
         if kind == SHARED:
-            d, s, e = data.reshape(3, n)
-            found.append((d, s, e - s))
-        elif kind == PENDING:
-            pending.append(data.reshape(3, n))
+            found.append((x[0], x[1], x[2] - x[1]))
         else:
-            covered.append(data)
-    for each, doc, at in pending:
-        hit = np.zeros(int(each.max()) + 1 if len(each) else 0, bool)
-        for x in covered:
-            hit[x] = True
-        hit = hit[each]
-        found.append((doc[hit], at[hit], np.full(hit.sum(), width)))
+            hits.append(np.array(x))
+            found.append((x[0], x[1], np.full(n, width)))
+    if again and hits:
+        a, h = np.concatenate(again, axis=1), np.concatenate(hits, axis=1)
+        big = max(a[1].max(), h[1].max()) + 1
+        hit = np.isin(a[0] * big + a[1], h[0] * big + h[1])
+        found.append((a[2][hit], a[3][hit], np.full(hit.sum(), width)))
     return merged(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else merged(*[np.zeros(0, np.int64)] * 3)
 
 
