@@ -195,7 +195,8 @@ def scan(graph: Graph, *, model: str = "diffusion", steps: int = 60, dt: float =
         x = evolve(a, x0, model=kind, steps=steps, dt=dt)
         return pd.DataFrame({"graph_id": key[0], "node": ids[mine], "score": np.abs(x).sum(0)})
 
-    return e.groupBy("graph_id", "part").cogroup(v.groupBy("graph_id", "part")).applyInPandas(kernel, "graph_id string, node int, score double")
+    v = v.select(F.col("graph_id").alias("g"), F.col("part").alias("p"), "node", "label")
+    return e.groupBy("graph_id", "part").cogroup(v.groupBy("g", "p")).applyInPandas(kernel, "graph_id string, node int, score double")
 
 
 def inverse(signals: DataFrame) -> DataFrame:

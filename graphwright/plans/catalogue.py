@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, transfers
 from ..operators import dynamics, flow, matrices, montecarlo, prepare, signals, spectral, stats, traversal, whatif
+from ..streaming import transitions
 from . import fixtures as fx
 
 DIGITS = 6
@@ -648,6 +649,14 @@ for _n, _f, _c in (
 SQL["slugs"] = "SELECT n_nationkey::BIGINT AS node, trim(regexp_replace(lower(trim('  Nation: ' || n_name)), '[^a-z0-9._-]+', '-', 'g'), '-._') AS slug FROM nation"
 
 
+@query(f"""WITH st AS (SELECT user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) previous FROM events)
+SELECT date_trunc('day', ts)::TIMESTAMP AS day, previous, event_type, count(*)::DOUBLE AS weight FROM st WHERE previous IS NOT NULL GROUP BY ALL""")
+def transition_windows(spark, sf):
+    ev = fx.table(spark, sf, "events").withColumn("previous", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("previous is not null")
+    w = transitions.windowed_transitions(ev.select("ts", "previous", "event_type"))
+    return w.select(F.col("window.start").alias("day"), "previous", "event_type", "weight")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
