@@ -8,7 +8,8 @@ estimate keeps every chain of likely links with one edge fewer than rows, and ea
 Large buckets are dealt into parts, whose forests' roots meet again, so that no bucket is one task and no pairs are listed.
 
 Texts with equal word sequences are one class before all that. Contract of near_duplicates: one row per input row, cluster_id is the smallest doc_id
-reachable by links of at least `similarity`; null and wordless texts link with nothing; null ids neither (null cluster).
+reachable by links of at least `similarity`; null and wordless texts link with nothing; null ids neither (null cluster). Rows of
+one id are one node of the links, with the links of all their texts; each row's cluster is that of its own text.
 """
 
 from __future__ import annotations
@@ -218,7 +219,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sketch = settled(texts.mapInArrow(sketches(shingle, bands, band_rows), SKETCH))
     classes = settled(sketch.groupBy("content").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.any_value("slots").alias("slots"), F.any_value("bands").alias("bands")))
     edges = candidates(classes.select(F.explode("bands").alias("band"), "id", "slots"), similarity, part)
-    by_id = texts.dropDuplicates(["doc_id"])
+    # one shuffle serves both joins; rows of one id count with each of their texts
+    by_id = texts.repartition("doc_id").dropDuplicates(["doc_id", "text"])
     pairs = edges.join(by_id.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(by_id.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     links = pairs.select("a", "b", "x", "y").mapInArrow(verified(shingle, similarity), "a long, b long")
     reach = components(links)
