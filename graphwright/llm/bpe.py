@@ -90,6 +90,17 @@ class Codec:
         words = sorted(self.ranks, key=self.ranks.get)
         self.ids = [self.ranks[w] for w in words]
         self.whole = PerfectHash(words)
+        if missing := [i for i in range(256) if bytes([i]) not in self.ranks]:
+            raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
+        self.singles = [self.ranks[bytes([i])] for i in range(256)]
+        # which id two linked parts merge into
+        self.bits = max(self.ids).bit_length()
+        get, self.pairs = self.ranks.get, {}
+        for w, r in self.ranks.items():
+            for k in range(1, len(w)):
+                a, b = get(w[:k]), get(w[k:])
+                if a is not None and b is not None:
+                    self.pairs[a << self.bits | b] = r
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         import public_tokenizers
 
@@ -105,37 +116,34 @@ class Codec:
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of a pre-token by merging, least rank first."""
-        n = len(token)
-        get, width = self.ranks.get, n.bit_length()
-        after = list(range(1, n + 1))  # where the part that starts here ends; 0: merged into another
-        before = list(range(-1, n - 1))
+        n, bits = len(token), self.bits
+        get, width = self.pairs.get, n.bit_length()
         low = (1 << width) - 1
-        # a heap entry: rank, start and end of a pair of linked parts, in one integer
-        heap = [(r << width | i) << width | i + 2 for i in range(n - 1) if (r := get(token[i : i + 2])) is not None]
+        ids = [self.singles[x] for x in token]  # of the part that starts here; -1: merged into another
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # a heap entry: rank of a pair of linked parts and where it starts, in one integer
+        heap = [r << width | i for i in range(n - 1) if (r := get(ids[i] << bits | ids[i + 1])) is not None]
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
             top = pop(heap)
-            e, i = top & low, top >> width & low
+            i, r = top & low, top >> width
+            if ids[i] < 0:
+                continue
             mid = after[i]
-            if not mid or mid >= n or after[mid] != e:
+            if mid >= n or get(ids[i] << bits | ids[mid]) != r:
                 continue
-            after[i], after[mid] = e, 0
+            ids[i], ids[mid] = r, -1
+            after[i] = e = after[mid]
             if e < n:
                 before[e] = i
-                f = after[e]
-                if (r := get(token[i:f])) is not None:
-                    push(heap, (r << width | i) << width | f)
+                if (q := get(r << bits | ids[e])) is not None:
+                    push(heap, q << width | i)
             if i:
                 b = before[i]
-                if (r := get(token[b:e])) is not None:
-                    push(heap, (r << width | b) << width | e)
-        out, i = [], 0
-        while i < n:
-            e = after[i]
-            out.append(self.ranks[token[i:e]])
-            i = e
-        return out
+                if (q := get(ids[b] << bits | r)) is not None:
+                    push(heap, q << width | b)
+        return [x for x in ids if x >= 0]
 
     def encode_token(self, token: str) -> bytes:
         out = self.older.get(token)
