@@ -74,5 +74,49 @@ FROM documents
 """
 
 
+OP2_SQL = """
+WITH RECURSIVE p AS (
+  SELECT a.vec_id i, b.vec_id j FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95),
+reach AS (SELECT vec_id i, vec_id c FROM embeddings UNION SELECT p.j, reach.c FROM reach JOIN p ON p.i = reach.i),
+root AS (SELECT i, min(c) c FROM reach GROUP BY i),
+n AS (SELECT i, count(*) n FROM p GROUP BY i)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(c AS BIGINT) AS component_id, vec_id = c AS kept
+FROM embeddings JOIN root ON root.i = vec_id LEFT JOIN n ON n.i = vec_id
+"""
+
+#: Windows of k symbols that start in an earlier document, merged into spans (doc_id, s, e) of starts and ends.
+_SPANS = """
+f AS (SELECT k, min(doc_id) m FROM win GROUP BY k),
+hit AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50 gap FROM win JOIN f USING (k) WHERE doc_id > m),
+isle AS (SELECT doc_id, p, count(*) FILTER (gap) OVER (PARTITION BY doc_id ORDER BY p) g FROM hit),
+span AS (SELECT doc_id, min(p) s, max(p) + 50 e FROM isle GROUP BY doc_id, g)
+"""
+
+OP1_SQL = f"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, ''))) n FROM documents),
+win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) k FROM t, range(0, n - 49) r(p)),
+{_SPANS},
+ends AS (SELECT doc_id, s, e FROM span UNION ALL SELECT doc_id, n, n FROM t),
+cut AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s, e), 0) b FROM ends),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) h FROM cut JOIN t USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(e - s) removed, count(*) spans FROM span GROUP BY doc_id)
+SELECT t.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM t JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+OP5_SQL = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 50], ' ') k FROM t, range(0, len(w) - 49) r(p)),
+{_SPANS},
+gone AS (SELECT doc_id, i FROM span, range(s, e) r(i)),
+each AS (SELECT doc_id, i, w[i + 1] x FROM t, range(0, len(w)) r(i)),
+left_ AS (SELECT * FROM each ANTI JOIN gone USING (doc_id, i)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) k, count(*) n FROM left_ GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_token_counts": OP9_SQL}
+    return {"op1_suffix_array_dedup": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op9_token_counts": OP9_SQL}
