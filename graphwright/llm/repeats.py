@@ -35,7 +35,7 @@ CHUNK = 1 << 17
 POSITION_BITS = 22
 NO_ID = (1 << 63) - 1
 #: Bytes of text in a block; a block is what one Python task holds at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 MIN_BLOCKS = 48
 
 
@@ -55,12 +55,17 @@ def packed_docs(n: int) -> Callable:
             block = (mix(np.array(b.column(0)).astype(np.int64).view(U64)) % U64(n)).astype(np.int32)
             order = np.argsort(block, kind="stable")
             ends = np.flatnonzero(np.diff(block[order])) + 1
+            to, bodies = [], []
             for rows in np.split(order, ends) if len(order) else ():
                 sink = pa.BufferOutputStream()
                 part = b.take(pa.array(rows))
                 with pa.ipc.new_stream(sink, part.schema) as w:
                     w.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([block[rows[0]]], pa.int32()), pa.array([press.compress(sink.getvalue())], pa.binary())], names=["block", "body"])
+                to.append(int(block[rows[0]]))
+                bodies.append(press.compress(sink.getvalue()))
+                del part, sink
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(bodies, pa.binary())], names=["block", "body"])
 
     return run
 
@@ -223,6 +228,7 @@ ASK_PHRASE, ASK_WINDOW, COVERED, PENDING, SHARED = range(5)
 
 
 def packets(rows: list[tuple]) -> pa.Table:
+    pa.default_memory_pool().release_unused()
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
