@@ -186,7 +186,7 @@ def mapped(docs: DataFrame, text: str, make: Callable, extra: list[pa.Field], sc
         for batch in batches:
             at = batch.schema.get_field_index("__text")
             made = make(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), *(pa.array(x, f.type) for x, f in zip(made, extra, strict=True))], names=[*(n for n in batch.schema.names if n != "__text"), *(f.name for f in extra)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), *(x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, extra, strict=True))], names=[*(n for n in batch.schema.names if n != "__text"), *(f.name for f in extra)])
 
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text")).mapInArrow(run, schema)
 
@@ -201,8 +201,10 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep
 
     def make(column: pa.Array) -> tuple:
         c = codec(path, pattern)
-        found = [np.frombuffer(c.encode(t), np.int32) for t in column.to_pylist()]
-        return found, [len(x) for x in found]
+        found = [c.encode(t) for t in column.to_pylist()]
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32))), pa.array(sizes)
 
     fields = [pa.field("ids", pa.list_(pa.int32())), pa.field("n_tokens", pa.int64())]
     return mapped(docs, text, make, fields, ", ".join([*_ddl(docs, keep), "ids array<int>", "n_tokens long"]), keep)
@@ -215,7 +217,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            out = [None if x is None else c.decode(np.array(x, np.uint32).tobytes()) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+            column = batch.column(batch.schema.get_field_index(ids))
+            values, at, out = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), []
+            for i, there in enumerate(column.is_valid().to_pylist()):
+                out.append(c.decode(values[at[i] : at[i + 1]].astype("<u4").tobytes()) if there else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.select(*(F.col(f"`{x}`") for x in keep)).mapInArrow(run, ", ".join([*_ddl(encoded, keep), "decoded binary"]))
