@@ -181,7 +181,7 @@ class Phrases:
             pieces[row, 0].astype(np.int32),
             s1 - pieces[row, 2] + pieces[row, 1],
             (s2 - s1 + 1).astype(np.int32),
-            value[trigger[at]],
+            mix(value[trigger[at]]),  # least hashes are small: mixed again, they spread over all buckets
             print_,
         )
 
