@@ -108,12 +108,25 @@ def answer(table: pa.Table) -> pa.Table:
     band = np.minimum(np.log2(total[seen]).astype(int), BANDS - 1)
     bands = np.bincount(band, minlength=BANDS).astype("<i8")
     mass = np.bincount(band, total[seen], BANDS).astype("<i8")
-    best = np.lexsort((distinct, -total))[:FREQUENT]
+    best = np.lexsort((distinct.view(np.int64), -total))[:FREQUENT]
     best = best[total[best] > 0]
     out.append((-1, bucket, len(best), bands.tobytes() + mass.tobytes() + distinct[best].astype("<u8").tobytes() + total[best].astype("<i8").tobytes()))
     return rows_of(out)
 
 
+FACT = "band int, a long, b long"
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, words, tokens) of each bucket's bands, and (-1, word, count) of its most frequent words, so that Spark adds and ranks them."""
+    for b in batches:
+        for n, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(body, "<i8")
+            sizes, tokens, words, counts = np.split(x, [BANDS, 2 * BANDS, 2 * BANDS + n])
+            band = np.append(np.arange(BANDS), np.full(n, -1))
+            yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), pa.array(np.append(sizes, words)), pa.array(np.append(tokens, counts))], names=["band", "a", "b"])
+
+
 def counts_for(answers: pa.Table, block: Block, buckets: int) -> np.ndarray:
     """The corpus counts of a block's distinct words."""
     got = {d: (n, b) for d, n, b in zip(answers["block"].to_pylist(), answers["n"].to_pylist(), answers["body"].to_pylist(), strict=True)}
@@ -284,16 +297,12 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds:
     by_block = blocks.groupBy("block")
     # counts are asked for once, and kept: the later passes read them again
     answers = settled(by_block.applyInArrow(ask(n, folds), ROW).groupBy("dest").applyInArrow(answer, ROW))
-    frequent = answers.where("dest = -1").select("n", "body")
-    bands, mass, words, counts = np.zeros(BANDS, np.int64), np.zeros(BANDS, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
-    for size, body in frequent.toLocalIterator():
-        bands = bands + np.frombuffer(body[: 8 * BANDS], "<i8")
-        mass = mass + np.frombuffer(body[8 * BANDS : 16 * BANDS], "<i8")
-        at = 16 * BANDS
-        words = np.append(words, np.frombuffer(body[at : at + 8 * size], "<u8"))
-        counts = np.append(counts, np.frombuffer(body[at + 8 * size :], "<i8"))
-        best = np.lexsort((words, -counts))[:FREQUENT]
-        words, counts = words[best], counts[best]
+    facts = answers.where("dest = -1").select("n", "body").mapInArrow(unpacked, FACT)
+    bands, mass = np.zeros(BANDS, np.int64), np.zeros(BANDS, np.int64)
+    for band, size, tokens in facts.where("band >= 0").groupBy("band").agg(F.sum("a"), F.sum("b")).collect():
+        bands[band], mass[band] = size, tokens
+    best = facts.where("band < 0").orderBy(F.desc("b"), "a").limit(FREQUENT).collect()
+    words, counts = np.array([r.a for r in best], np.int64).view(U64), np.array([r.b for r in best], np.int64)
     end = int(counts[words == END].sum())
     model = Model(bands, mass, words, counts)
     pairs = plain_docs(docs, doc_id, text).mapInArrow(pairs_of_words(folds, model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
