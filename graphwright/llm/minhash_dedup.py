@@ -4,8 +4,10 @@ Shingles are `shingle` consecutive words `[^\\x20\\x09-\\x0D]+` (all of them in
 shingle sends arrivals of a Poisson process with its weight as rate to random slots; a slot keeps the shingle of the first arrival, and a
 shingle stops when its next arrival is later than all that the slots hold. The share of equal slots estimates the probability Jaccard
 J_P(x, y) = sum over d in both of 1 / sum over e of max(x_e / x_d, y_e / y_d). Slots are banded; within a bucket, a maximum spanning forest by the
-estimate keeps every chain of likely links with one edge fewer than rows, and each edge is verified by the exact J_P of both whole texts.
-Large buckets are dealt into parts, whose forests' roots meet again, so that no bucket is one task and no pairs are listed.
+estimate proposes one edge fewer than rows, and each edge is verified by the exact J_P of both whole texts. What verified edges leave
+apart is swept: in each bucket, rows outside its largest component propose their best candidates in other components, then all of them, so
+that at the end every pair of a bucket with an estimate above the slack is joined by verified links or was itself verified.
+Large buckets are dealt into parts, so that no bucket is one task; pairs are listed only between components.
 
 Texts with equal word sequences are one class before all that. Contract of near_duplicates: one row per input row, cluster_id is the smallest doc_id
 reachable by links of at least `similarity`; null and wordless texts link with nothing; null ids neither (null cluster). Rows of
@@ -33,6 +35,8 @@ BANDS, BAND_ROWS = 16, 4
 PART = 512
 #: Estimates below the similarity by more than this (over four standard deviations) aren't verified.
 SLACK = 0.22
+#: Candidates that a row proposes in each part of its buckets before all others are.
+FIRST = 16
 SKETCH = "doc_id long, content binary, slots binary, bands array<long>"
 
 
@@ -212,6 +216,64 @@ def verified(shingle: int, similarity: float) -> Callable:
     return run
 
 
+def sweep(least: float, best: int | None) -> Callable:
+    """Rows (band, part, asks, id, c, slots) sorted by these: of a part of a bucket, first its rows, then those that ask. Of each that asks, (a, b, more)
+    with the `best` likely rows of other components c (None: all); more: it had others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, owners, prints = None, None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, part, asks, row, c = (np.array(batch.column(k)) for k in range(5))
+            slots = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(row), -1)
+            new = np.flatnonzero((np.diff(band) != 0) | (np.diff(part) != 0) | (np.diff(asks) != 0)) + 1
+            out: dict = {"a": [], "b": [], "more": []}
+            for i, j in zip([0, *new], [*new, len(row)], strict=True):
+                if not asks[i]:
+                    same = (band[i], part[i]) == key
+                    ids, owners, prints = (np.concatenate([x, y[i:j]]) if same else y[i:j] for x, y in zip((ids, owners, prints), (row, c, slots), strict=True))
+                    key = (band[i], part[i])
+                    continue
+                if (band[i], part[i]) != key:
+                    continue  # a part without rows of its own
+                for at in range(i, j, 64):
+                    to = min(at + 64, j)
+                    s = (slots[at:to, None] == prints).mean(2)
+                    s[(s < least) | (c[at:to, None] == owners)] = -1
+                    for k in np.flatnonzero(s.max(1) >= 0):
+                        likely = np.flatnonzero(s[k] >= 0)
+                        more = best is not None and len(likely) > best
+                        if more:
+                            likely = likely[np.argsort(-s[k, likely], kind="stable")[:best]]
+                        out["a"].append(np.minimum(ids[likely], row[at + k]))
+                        out["b"].append(np.maximum(ids[likely], row[at + k]))
+                        out["more"].append(np.full(len(likely), more))
+                if sum(map(len, out["a"])) > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out.values()], names=list(out))
+                    out = {"a": [], "b": [], "more": []}
+            if out["a"]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out.values()], names=list(out))
+
+    return run
+
+
+def apart(classes: DataFrame, links: DataFrame, least: float, best: int | None, part: int) -> DataFrame | None:
+    """(a, b, more): likely links between what the verified links leave apart within a bucket; None if they leave nothing apart."""
+    state = classes.join(components(links), "id", "left").select("content", "id", F.coalesce("component", "id").alias("c"), F.explode("bands").alias("band"))
+    tally = state.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "c"))["c"].alias("top"), F.sum("n").alias("n"), F.count("*").alias("k"))
+    tally = settled(tally.where("k > 1").select("band", "top", F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    if tally.isEmpty():
+        return None
+    # both sides are shuffled, so that Spark can split a bucket that many share
+    live = settled(state.join(tally.hint("shuffle_merge"), "band").join(classes.select("content", "slots"), "content").select("band", "parts", F.col("c") != F.col("top"), "id", "c", "slots").toDF("band", "parts", "asks", "id", "c", "slots"))
+    own = F.pmod(F.xxhash64("id", F.lit(0)), F.col("parts")).cast("int")
+    rows = live.select("band", own.alias("part"), F.lit(0).alias("asks"), "id", "c", "slots")
+    asking = live.where("asks").select("band", own.alias("part"), F.lit(1).alias("asks"), "id", "c", "slots")
+    met = rows.union(asking).repartition("band", "part").sortWithinPartitions("band", "part", "asks", "id")
+    return settled(met.mapInArrow(sweep(least, best), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS, part: int = PART) -> DataFrame:
     """doc_id, cluster_id, n_same (rows of equal words, itself included), kept (doc_id = cluster_id)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -219,10 +281,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sketch = settled(texts.mapInArrow(sketches(shingle, bands, band_rows), SKETCH))
     classes = settled(sketch.groupBy("content").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.any_value("slots").alias("slots"), F.any_value("bands").alias("bands")))
     edges = candidates(classes.select(F.explode("bands").alias("band"), "id", "slots"), similarity, part)
-    # one shuffle serves both joins; rows of one id count with each of their texts
-    by_id = texts.repartition("doc_id").dropDuplicates(["doc_id", "text"])
-    pairs = edges.join(by_id.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(by_id.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    links = pairs.select("a", "b", "x", "y").mapInArrow(verified(shingle, similarity), "a long, b long")
+
+    def exact(edges: DataFrame) -> DataFrame:
+        # one shuffle serves both joins; rows of one id count with each of their texts
+        ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        by_id = texts.join(ends, "doc_id", "left_semi").repartition("doc_id").dropDuplicates(["doc_id", "text"])
+        pairs = edges.join(by_id.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(by_id.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+        return settled(pairs.select("a", "b", "x", "y").mapInArrow(verified(shingle, similarity), "a long, b long"))
+
+    links = exact(edges)
+    for best in (FIRST, None):
+        more = apart(classes, links, similarity - SLACK, best, part)
+        if more is None or more.isEmpty():
+            break
+        links = links.union(exact(more.select("a", "b")))
+        if more.where("more").isEmpty():
+            break
     reach = components(links)
     known = classes.join(reach, "id", "left").select("content", "n", F.coalesce("component", "id").alias("cluster_id"))
     grouped = sketch.select("doc_id", "content").join(known, "content").select("doc_id", "cluster_id", F.col("n").alias("n_same"))

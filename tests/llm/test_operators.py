@@ -213,6 +213,26 @@ def test_minhash_dedup(docs, part):
     assert sorted(got, key=repr) == sorted(((i, find(i) if i is not None else None) for i, _ in rows), key=repr)
 
 
+def edited_copies(n, seed=0, size=400, edits=7):
+    """A text, and n copies of it with words changed at places of their own: near to the text, less so to each other."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randint(0, 10**6)}" for _ in range(size)]
+    out = [base]
+    for k in range(n):
+        w = list(base)
+        for p in rng.sample(range(size), edits):
+            w[p] = f"e{k}x{p}"
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+def test_minhash_dedup_star(spark):
+    found = edited_copies(400)
+    assert min(jaccard(weighted(found[0]), weighted(t)) for t in found) >= 0.8 and jaccard(weighted(found[1]), weighted(found[2])) < 0.8
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").repartition(4)).collect()
+    assert {r.cluster_id for r in got} == {0} and len(got) == 401
+
+
 def test_probability_jaccard_and_estimate():
     rng = np.random.default_rng(0)
     a, b = Counter(rng.integers(0, 60, 200).tolist()), Counter(rng.integers(0, 60, 150).tolist())
