@@ -7,7 +7,7 @@ J_P(x, y) = sum over d in both of 1 / sum over e of max(x_e / x_d, y_e / y_d). S
 estimate proposes one edge fewer than rows, and each edge is verified by the exact J_P of both whole texts. What verified edges leave
 apart is swept: in each bucket, rows outside its largest component propose their best candidates in other components, then all of them, so
 that at the end every pair of a bucket with an estimate above the slack is joined by verified links or was itself verified.
-Large buckets are dealt into parts, so that no bucket is one task; pairs are listed only between components.
+Large buckets are dealt into parts, so that no bucket is one task, and rows that propose meet every part; pairs are listed only between components.
 
 Texts with equal word sequences are one class before all that. Contract of near_duplicates: one row per input row, cluster_id is the smallest doc_id
 reachable by links of at least `similarity`; null and wordless texts link with nothing; null ids neither (null cluster). Rows of
@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, settled
@@ -118,73 +118,44 @@ def forest(ids: np.ndarray, prints: np.ndarray, least: float) -> list[tuple[int,
     return out
 
 
-def forests(similarity: float, least: float) -> Callable:
-    """Rows sorted by bucket and part. Edges; and where a bucket has parts, (bucket, root) of each likely component."""
-    names = ["band", "root", "slots", "a", "b"]
-
-    def of(rows: tuple, deep: bool, out: dict) -> None:
-        band, ids, prints = rows
-        edges = forest(ids, np.array([np.frombuffer(p, np.uint8) for p in prints]), least) if len(ids) > 1 else []
-        out["a"] += [e[0] for e in edges]
-        out["b"] += [e[1] for e in edges]
-        if deep:
-            root = {int(i): int(i) for i in ids}
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                return x
-
-            for a, b, s in edges:
-                if s >= similarity:
-                    a, b = find(a), find(b)
-                    root[max(a, b)] = min(a, b)
-            for i, p in zip(ids.tolist(), prints, strict=True):
-                if root[i] == i:
-                    out["root"].append((band, i, p))
-
-    def batch(out: dict) -> pa.RecordBatch:
-        k, e = len(out["root"]), len(out["a"])
-        band, root, slots = zip(*out["root"], strict=True) if k else ((), (), ())
-        columns = [[*band, *[None] * e], [*root, *[None] * e], [*slots, *[None] * e], [*[None] * k, *out["a"]], [*[None] * k, *out["b"]]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=names)
+def forests(least: float) -> Callable:
+    """(a, b): edges of the forest of each bucket and part; rows (band, part, id, slots) are sorted by these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, deep, out = None, [], False, {"root": [], "a": [], "b": []}
+        key, held, edges = None, [], []
+
+        def close() -> None:
+            if len(held) > 1:
+                edges.extend(forest(np.array([h[0] for h in held]), np.array([np.frombuffer(h[1], np.uint8) for h in held]), least))
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], names=["a", "b"])
+
         for b in batches:
-            for band, part, parts, i, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for band, part, i, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (band, part) != key:
-                    if held:
-                        of((key[0], np.array([h[0] for h in held]), [h[1] for h in held]), deep, out)
-                    key, held, deep = (band, part), [], parts > 1
+                    close()
+                    key, held = (band, part), []
                 held.append((i, p))
-            if len(out["a"]) + len(out["root"]) > 1 << 14:
-                yield batch(out)
-                out = {"root": [], "a": [], "b": []}
-        if held:
-            of((key[0], np.array([h[0] for h in held]), [h[1] for h in held]), deep, out)
-        yield batch(out)
+            if len(edges) > 1 << 14:
+                yield batch()
+                edges = []
+        close()
+        yield batch()
 
     return run
 
 
-def candidates(rows: DataFrame, similarity: float, part: int) -> DataFrame:
-    """(a, b): likely links between rows (band, id, slots), by bucket."""
-    found, turn, before = None, 0, None
-    while True:
-        sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-        # a turn that joined nothing: what is left of each bucket is compared whole
-        parts = F.lit(1) if before == (again := rows.count()) else F.ceil(F.col("n") / part)
-        before = again
-        # both sides are shuffled, so that Spark can split a bucket that many share
-        dealt = rows.join(sizes.hint("shuffle_merge"), "band").select("band", F.pmod(F.xxhash64("id", F.lit(turn)), parts).alias("part"), parts.cast("long").alias("parts"), "id", "slots")
-        out = settled(dealt.repartition("band", "part").sortWithinPartitions("band", "part", "id").mapInArrow(forests(similarity, similarity - SLACK), "band long, root long, slots binary, a long, b long"))
-        edges = out.where("a is not null").select("a", "b")
-        found = edges if found is None else found.union(edges)
-        rows = out.where("root is not null").select("band", F.col("root").alias("id"), "slots")
-        if rows.isEmpty():
-            return found.distinct()
-        turn += 1
+def candidates(rows: DataFrame, least: float, part: int) -> DataFrame:
+    """(a, b): likely links between rows (band, id, slots) by bucket and part; what lies in different parts meets in apart()."""
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    # both sides are shuffled, so that Spark can split a bucket that many share
+    dealt = rows.join(sizes.hint("shuffle_merge"), "band").select("band", own_part(F.ceil(F.col("n") / part)).alias("part"), "id", "slots")
+    return settled(dealt.repartition("band", "part").sortWithinPartitions("band", "part", "id").mapInArrow(forests(least), "a long, b long")).distinct()
+
+
+def own_part(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(0)), parts).cast("int")
 
 
 def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -267,9 +238,9 @@ def apart(classes: DataFrame, links: DataFrame, least: float, best: int | None,
         return None
     # both sides are shuffled, so that Spark can split a bucket that many share
     live = settled(state.join(tally.hint("shuffle_merge"), "band").join(classes.select("content", "slots"), "content").select("band", "parts", F.col("c") != F.col("top"), "id", "c", "slots").toDF("band", "parts", "asks", "id", "c", "slots"))
-    own = F.pmod(F.xxhash64("id", F.lit(0)), F.col("parts")).cast("int")
-    rows = live.select("band", own.alias("part"), F.lit(0).alias("asks"), "id", "c", "slots")
-    asking = live.where("asks").select("band", own.alias("part"), F.lit(1).alias("asks"), "id", "c", "slots")
+    rows = live.select("band", own_part(F.col("parts")).alias("part"), F.lit(0).alias("asks"), "id", "c", "slots")
+    # rows that ask go to every part of their bucket
+    asking = live.where("asks").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "id", "c", "slots")
     met = rows.union(asking).repartition("band", "part").sortWithinPartitions("band", "part", "asks", "id")
     return settled(met.mapInArrow(sweep(least, best), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
 
@@ -280,7 +251,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = rows.where("doc_id is not null")
     sketch = settled(texts.mapInArrow(sketches(shingle, bands, band_rows), SKETCH))
     classes = settled(sketch.groupBy("content").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.any_value("slots").alias("slots"), F.any_value("bands").alias("bands")))
-    edges = candidates(classes.select(F.explode("bands").alias("band"), "id", "slots"), similarity, part)
+    edges = candidates(classes.select(F.explode("bands").alias("band"), "id", "slots"), similarity - SLACK, part)
 
     def exact(edges: DataFrame) -> DataFrame:
         # one shuffle serves both joins; rows of one id count with each of their texts

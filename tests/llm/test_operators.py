@@ -226,10 +226,11 @@ def edited_copies(n, seed=0, size=400, edits=7):
     return [" ".join(w) for w in out]
 
 
-def test_minhash_dedup_star(spark):
+@pytest.mark.parametrize("part", [40, 512])
+def test_minhash_dedup_star(spark, part):
     found = edited_copies(400)
     assert min(jaccard(weighted(found[0]), weighted(t)) for t in found) >= 0.8 and jaccard(weighted(found[1]), weighted(found[2])) < 0.8
-    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").repartition(4)).collect()
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").repartition(4), part=part).collect()
     assert {r.cluster_id for r in got} == {0} and len(got) == 401
 
 
