@@ -5,11 +5,12 @@ crc32(doc_id as text) modulo `folds` is not 0.
 
 Classes. The `frequent` most frequent words (ties by hash) are clustered by exchange: each word in turn moves to the class that raises
 the likelihood of the bigrams among them most, from a start that deals them out by frequency, until a sweep moves none
-or `sweeps` are done. Their number is a bound on the model's size, not on the corpus: bigrams are counted over all training
-tokens. A rarer word's class is its frequency band (power of two of its count); unseen words fall in the
-band of singletons, with no count of their own. The end has a class of its own.
+or `sweeps` are done. Every other training word is then placed in one of these classes: the one that the exchange's gain is largest for (ties: the
+first), by its bigrams with all words, whose provisional classes are the exchange's, the end's, or frequency bands (power of two of
+the count). All words are placed by one table, so that no order matters. Bigrams are added up where the word is dealt to. Unseen words are one
+more word of the class that has the most words. The end has a class of its own.
 P(w | v) = P(class w | class v) P(w | class w), both smoothed: transitions by adding `prior` times the class's unigram share,
-emissions by adding 0.1 to each count (one more for the unseen in the rarest band and in an unused one). A text starts after an end.
+emissions by adding 0.1 to each count (one more for the unseen). A text starts after an end.
 
 Work at scale: a block of documents asks for the counts of its distinct words once, by hash; nothing of the
 vocabulary goes to the driver but the frequent words, nor is it broadcast. Words are told apart by 64-bit hashes.
@@ -20,18 +21,18 @@ training under the text "null"; other columns aren't read; an empty training set
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import settled, tidy
 from .hashing import LOWER, U64, mix
-from .repeats import BLOCK_BYTES, NO_ID, by_id, dealt, ordered, plain_docs, raw, spread, word_symbols
+from .repeats import BLOCK_BYTES, NO_ID, by_id, dealt, expand, ordered, plain_docs, raw, spread, word_symbols
 
 FREQUENT = 1000
 CLASSES = 48
@@ -192,7 +193,7 @@ def exchange(bigrams: np.ndarray, counts: np.ndarray, classes: int, sweeps: int)
 
 
 class Model:
-    """What of the model is the same for every block: bounded by FREQUENT, CLASSES and BANDS."""
+    """What of the model is the same for every block: bounded by FREQUENT, CLASSES and BANDS. Classes of the other words stay with the blocks."""
 
     def __init__(self, bands: np.ndarray, mass: np.ndarray, words: np.ndarray, counts: np.ndarray):
         """words, counts: the most frequent of all, the end among them or not."""
@@ -207,29 +208,33 @@ class Model:
         at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
         return np.where(self.words[at] == words, at, -1) if len(self.words) else np.full(len(words), -1)
 
-    def set_classes(self, label: np.ndarray, end_count: int) -> None:
-        """Classes: 0 the end, then the exchange's, then the frequency bands."""
+    def set_classes(self, label: np.ndarray) -> None:
+        """Provisional classes: 0 the end, then the exchange's, then the frequency bands."""
         self.label = label + 1
-        self.first_band = 1 + (int(label.max()) + 1 if len(label) else 0)
+        self.first_band = 1 + max(1, int(label.max()) + 1 if len(label) else 0)
         self.n = self.first_band + BANDS
-        size, mass = np.zeros(self.n), np.zeros(self.n)
-        size[0], mass[0] = 1, end_count
-        np.add.at(size, self.label, 1)
-        np.add.at(mass, self.label, self.counts)
-        size[self.first_band :], mass[self.first_band :] = self.bands, self.mass
-        for c in [*self.counts.tolist(), end_count]:
-            if c:
-                band = self.first_band + min(int(math.log2(c)), BANDS - 1)
-                size[band] -= 1
-                mass[band] -= c
-        size[self.first_band] += 1  # the unseen
-        self.size, self.mass = np.maximum(size, 1), np.maximum(mass, 0)
-
-    def class_of(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+
+    def provisional(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         at = self.index(words)
         rare = self.first_band + np.minimum(np.log2(np.maximum(counts, 1)).astype(int), BANDS - 1)
         return np.where(words == END, 0, np.where(at >= 0, self.label[at] if len(self.label) else 0, rare))
 
+    def set_sizes(self, size: np.ndarray, mass: np.ndarray, end_count: int) -> None:
+        """Words and tokens of the placed words by class; from now on there are no bands."""
+        self.n = self.first_band
+        self.size, self.mass = size[: self.n].astype(float), mass[: self.n].astype(float)
+        self.size[0], self.mass[0] = 1, end_count
+        np.add.at(self.size, self.label, 1)
+        np.add.at(self.mass, self.label, self.counts)
+        self.unseen = 1 + int(np.argmax(self.size[1:]))
+        self.size[self.unseen] += 1
+
+    def class_of(self, words: np.ndarray, counts: np.ndarray, placed: np.ndarray) -> np.ndarray:
+        """placed: the classes of words that aren't frequent, 0 for unseen ones."""
+        at = self.index(words)
+        rare = np.where(placed > 0, placed, self.unseen)
+        return np.where(words == END, 0, np.where(at >= 0, self.label[at] if len(self.label) else 0, rare))
+
     def emission(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.mass[classes] + 0.1 * self.size[classes]))
 
@@ -259,12 +264,13 @@ def pairs_of_words(folds: int, model: Model) -> Callable:
     return run
 
 
-def pairs_of_classes(buckets: int, folds: int, model: Model) -> Callable:
+def pairs_of_classes(buckets: int, folds: int, model: Model, final: bool) -> Callable:
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         b = Block(table, folds)
-        c = model.class_of(b.words, counts_for(answers, b, buckets))[b.number]
+        c = classes_of(b, answers, buckets, model)[1] if final else model.provisional(b.words, counts_for(answers, b, buckets))
+        c = c[b.number]
         prev = np.append(0, c[:-1])
         cell, count = np.unique((prev * model.n + c)[b.train], return_counts=True)
         return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(count, pa.int64())})
@@ -272,6 +278,116 @@ def pairs_of_classes(buckets: int, folds: int, model: Model) -> Callable:
     return run
 
 
+def classes_of(b: Block, answers: pa.Table, buckets: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and classes of a block's distinct words, from answers of both kinds."""
+    answers = answers.combine_chunks()
+    kind = answers["kind"].to_numpy()
+    counts = counts_for(answers.filter(pa.array(kind == 0)), b, buckets)
+    placed = np.zeros(len(b.words), np.int64)
+    got = {d: body for d, body, k in zip(answers["block"].to_pylist(), answers["body"].to_pylist(), kind, strict=True) if k}
+    rare = rare_words(b, counts, model)
+    for to, rows in spread(mix(b.words[rare]), buckets):
+        placed[rare[rows]] = np.frombuffer(got[to], np.uint8)
+    return counts, model.class_of(b.words, counts, placed)
+
+
+def rare_words(b: Block, counts: np.ndarray, model: Model) -> np.ndarray:
+    """Places of the block's words that are in training and not frequent."""
+    return np.flatnonzero((counts > 0) & (b.words != END) & (model.index(b.words) < 0))
+
+
+def ask_classes(buckets: int, folds: int, model: Model) -> Callable:
+    """For each bucket: rare words of the block, their corpus counts, and (word, side and class, tokens) of the neighbours in training."""
+
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return rows_of([])
+        b = Block(table, folds)
+        counts = counts_for(answers, b, buckets)
+        c = model.provisional(b.words, counts)[b.number]
+        rare = rare_words(b, counts, model)
+        place = np.full(len(b.words), -1)
+        place[rare] = np.arange(len(rare))
+        at = place[b.number]
+        before, after = np.append(0, c[:-1]), np.append(c[1:], 0)
+        ok = b.train & (at >= 0)
+        cell, tokens = np.unique(np.concatenate([at[ok] * 2 * model.n + before[ok], (at[ok] * 2 + 1) * model.n + after[ok]]), return_counts=True)
+        edge = np.searchsorted(cell, np.arange(len(rare) + 1) * 2 * model.n)
+        out = []
+        for to, rows in spread(mix(b.words[rare]), buckets):
+            n = np.diff(edge)[rows]
+            take = expand(edge[rows], n)
+            body = b.words[rare[rows]].astype("<u8").tobytes() + counts[rare[rows]].astype("<i8").tobytes() + n.astype("<u4").tobytes()
+            body += (cell[take] % (2 * model.n)).astype("<u2").tobytes() + tokens[take].astype("<u4").tobytes()
+            out.append((to, key[0], len(rows), zstandard.compress(body, 1)))
+        return rows_of(out)
+
+    return run
+
+
+def gains(table: np.ndarray, word: np.ndarray, cell: np.ndarray, tokens: np.ndarray, n: int, classes: np.ndarray) -> np.ndarray:
+    """The exchange's gain for each of n words and each of these classes. cell: class before the word, or the number of classes plus that after it."""
+    k = len(table)
+    xlogx = lambda x: x * np.log(np.maximum(x, 1))
+    out = np.zeros((n, len(classes)))
+    side, other = cell >= k, cell % k
+    for after in (False, True):
+        rows = np.flatnonzero(side == after)
+        own = (table if after else table.T)[classes]  # by class and neighbour
+        for at in range(0, len(rows), 1 << 15):
+            r = rows[at : at + (1 << 15)]
+            t = own[:, other[r]].T
+            np.add.at(out, word[r], xlogx(t + tokens[r, None]) - xlogx(t))
+        total = own.sum(1)
+        mass = np.bincount(word[rows], tokens[rows], n)
+        for at in range(0, n, 1 << 15):
+            m = mass[at : at + (1 << 15), None]
+            out[at : at + (1 << 15)] -= xlogx(total + m) - xlogx(total)
+    return out
+
+
+def place_words(model: Model, table: np.ndarray) -> Callable:
+    """Classes to every block that asked, in its own order; to dest -1, words and tokens of each class."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        words, counts, number, cells, tokens, sizes = [], [], [], [], [], []
+        for n, body in zip(asked["n"].to_pylist(), asked["body"].to_pylist(), strict=True):
+            view = memoryview(zstandard.decompress(body))
+            words.append(np.frombuffer(view[: 8 * n], "<u8"))
+            counts.append(np.frombuffer(view[8 * n : 16 * n], "<i8"))
+            m = np.frombuffer(view[16 * n : 20 * n], "<u4").astype(np.int64)
+            e = int(m.sum())
+            number.append(np.repeat(np.arange(n) + sum(sizes), m))
+            cells.append(np.frombuffer(view[20 * n : 20 * n + 2 * e], "<u2").astype(np.int64))
+            tokens.append(np.frombuffer(view[20 * n + 2 * e :], "<u4").astype(np.int64))
+            sizes.append(n)
+        words, counts, number, cells, tokens = (np.concatenate(x) for x in (words, counts, number, cells, tokens))
+        _, first, each = np.unique(words, return_index=True, return_inverse=True)
+        k = 2 * model.n
+        pair, where = np.unique(each[number] * k + cells, return_inverse=True)
+        tokens = np.bincount(where, tokens, len(pair))
+        classes, label = np.arange(1, model.first_band), np.zeros(len(first), np.int64)
+        edge = np.searchsorted(pair, np.arange(len(first) + 1) * k)
+        for at in range(0, len(first), 1 << 15):
+            to = min(at + (1 << 15), len(first))
+            r = slice(edge[at], edge[to])
+            label[at:to] = classes[np.argmax(gains(table, pair[r] // k - at, pair[r] % k, tokens[r], to - at, classes), 1)]
+        bucket, edges = asked["dest"][0].as_py(), np.cumsum([0, *sizes])
+        out = [(b, bucket, n, label[each[edges[i] : edges[i + 1]]].astype(np.uint8).tobytes()) for i, (b, n) in enumerate(zip(asked["block"].to_pylist(), sizes, strict=True))]
+        size, mass = np.bincount(label, minlength=model.first_band), np.bincount(label, counts[first], model.first_band)
+        out.append((-1, bucket, model.first_band, size.astype("<i8").tobytes() + mass.astype("<i8").tobytes()))
+        return rows_of(out)
+
+    return run
+
+
+def class_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for n, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(body, "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(x[:n]), pa.array(x[n:])], names=["band", "a", "b"])
+
+
 def scored(buckets: int, folds: int, model: Model) -> Callable:
     fields = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -279,8 +395,7 @@ def scored(buckets: int, folds: int, model: Model) -> Callable:
         b = Block(table, folds)
         if not len(b.ids):
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=fields)
-        counts = counts_for(answers, b, buckets)
-        classes = model.class_of(b.words, counts)
+        counts, classes = classes_of(b, answers, buckets, model)
         base = np.log10((counts + 0.1) / (model.tokens + 0.1 * (model.vocabulary + 1)))[b.number]
         c = classes[b.number]
         full = model.emission(classes, counts)[b.number] + model.steps[np.append(0, c[:-1]), c]
@@ -314,12 +429,25 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds:
     by_count = np.lexsort((model.words, -model.counts))
     label = np.empty(len(by_count), np.int64)
     label[by_count] = exchange(table[np.ix_(by_count, by_count)], model.counts[by_count], classes, sweeps)
-    model.set_classes(label, end)
+    model.set_classes(label)
     of_block = answers.where("dest >= 0").groupBy("dest")
-    steps = np.zeros(model.n * model.n)
-    with tidy(docs.sparkSession):
-        for cell, count in by_block.cogroup(of_block).applyInArrow(pairs_of_classes(n, folds, model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-            steps[cell] = count
-    model.set_transitions(steps.reshape(model.n, model.n), prior)
+
+    def transitions(blocks_and_answers, final: bool) -> np.ndarray:
+        steps = np.zeros(model.n * model.n)
+        with tidy(docs.sparkSession):
+            for cell, count in blocks_and_answers.applyInArrow(pairs_of_classes(n, folds, model, final), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+                steps[cell] = count
+        return steps.reshape(model.n, model.n)
+
+    first = transitions(by_block.cogroup(of_block), False)
+    placed = settled(by_block.cogroup(of_block).applyInArrow(ask_classes(n, folds, model), ROW).groupBy("dest").applyInArrow(place_words(model, first), ROW))
+    size, mass = np.zeros(model.first_band, np.int64), np.zeros(model.first_band, np.int64)
+    for c, words_, tokens in placed.where("dest = -1").select("n", "body").mapInArrow(class_facts, FACT).groupBy("band").agg(F.sum("a"), F.sum("b")).collect():
+        size[c], mass[c] = words_, tokens
+    model.set_sizes(size, mass, end)
+    both = answers.withColumn("kind", F.lit(0)).union(placed.withColumn("kind", F.lit(1))).where("dest >= 0")
+    of_block = both.groupBy("dest")
+    steps = transitions(by_block.cogroup(of_block), True)
+    model.set_transitions(steps, prior)
     out = by_block.cogroup(of_block).applyInArrow(scored(n, folds, model), SCORES)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

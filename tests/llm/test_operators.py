@@ -331,6 +331,16 @@ def test_lm_beats_unigrams_on_held_out(spark):
     assert sum(r.score for r in got) > 0.9 * sum(r.base_score for r in got) and sum(r.score for r in got) > sum(r.base_score for r in got) + 100
 
 
+def test_lm_places_rare_words(spark):
+    rng = random.Random(1)
+    nouns, verbs = [f"n{i}" for i in range(1500)], [f"v{i}" for i in range(1500)]
+    one = lambda words: rng.choice(words[: 30 if rng.random() < 0.5 else None])
+    rows = [(i, " ".join(x for _ in range(40) for x in (one(nouns), one(verbs)))) for i in range(400)]
+    got = [r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), classes=4, block_bytes=1 << 16).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert gain > 0.8 * math.log10(2)  # nouns and verbs take turns
+
+
 def test_exchange_separates():
     t = np.zeros((6, 6), int)
     t[:3, 3:] = 50
