@@ -211,7 +211,9 @@ def evaluate_many(graph: Graph, changes: dict[str, Intervention], seed: DataFram
 
 def _scenarios(graph: Graph, kind: str, max_edges: int | None) -> DataFrame:
     """(graph_id, i, j): nodes (i = j) or the edges of most weight."""
-    if kind == "nodes":
+    if kind not in ("nodes", "mutations", "edges"):
+        raise GraphError(f"unknown kind of scan {kind!r}")
+    if kind != "edges":
         return graph.nodes.select("graph_id", F.col("node").alias("i"), F.col("node").alias("j"))
     up = upper_edges(graph.edges)
     if max_edges is not None:
@@ -241,15 +243,20 @@ def fan(graph: Graph, seed: DataFrame, tasks: DataFrame, kernel: Callable, schem
     return rows.groupBy("graph_id", "part").applyInPandas(run_, f"graph_id string, {schema}")
 
 
-def ablation_scan(graph: Graph, seed: DataFrame, *, kind: str = "edges", max_edges: int | None = None, model: str = "heat", steps: int = 60, dt: float = 0.1) -> DataFrame:
-    """(graph_id, i, j, l1_delta, l2_delta, linf_delta, rank): each node cut off (i = j), or each edge taken out, exactly."""
+def ablation_scan(graph: Graph, seed: DataFrame, *, kind: str = "edges", max_edges: int | None = None, factor: float = 0.5, model: str = "heat", steps: int = 60, dt: float = 0.1) -> DataFrame:
+    """(graph_id, i, j, l1_delta, l2_delta, linf_delta, rank): each node cut off ("nodes", i = j) or mutated ("mutations": MutateNode of radius 1 and
+    this factor), or each edge taken out, exactly; all edges, or the `max_edges` of most weight."""
 
     def kernel(a: np.ndarray, ids: np.ndarray, x0: np.ndarray, tasks: list) -> dict:
         base = evolve(a, x0[:, None], model=model, steps=steps, dt=dt)[:, 0]
         out = []
         for i, j in tasks:
             b = a.copy()
-            if i == j:
+            if kind == "mutations":
+                near = a[i] > 0
+                near[i] = True
+                b[near[:, None] | near] *= factor
+            elif kind == "nodes":
                 b[i] = b[:, i] = 0
             else:
                 b[i, j] = b[j, i] = 0

@@ -6,6 +6,7 @@ Doubles are rounded to DIGITS on both sides (and 0.0 added, against negative zer
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -639,6 +640,8 @@ for _n, _f, _c in (
     ("global_sensitivity", lambda g, s, d: whatif.global_sensitivity(g, dynamics.seeds(g), steps=8, dt=0.02), ("i", "j", "impact", "score", "rank")),
     ("validate_top_edges", lambda g, s, d: whatif.validate_top_edges(g, dynamics.seeds(g), _target(g), k=10, steps=8, dt=0.02), ("i", "j", "predicted", "exact", "absolute_error", "relative_error", "rank_predicted", "rank_exact")),
     ("node_ablation", lambda g, s, d: whatif.ablation_scan(g, dynamics.seeds(g), kind="nodes", steps=8, dt=0.02), ("i", "l1_delta", "l2_delta", "linf_delta", "rank")),
+    ("edge_ablation", lambda g, s, d: whatif.ablation_scan(g, dynamics.seeds(g), steps=8, dt=0.02), ("i", "j", "l1_delta", "l2_delta", "linf_delta", "rank")),
+    ("mutation_scan", lambda g, s, d: reduce(DataFrame.union, [whatif.ablation_scan(g, dynamics.seeds(g), kind="mutations", factor=f, steps=8, dt=0.02).withColumn("factor", F.lit(f)) for f in (0.25, 0.5, 1.5)]), ("i", "factor", "l1_delta", "l2_delta", "linf_delta", "rank")),
     ("evaluate_interventions", lambda g, s, d: whatif.evaluate_many(g, {"cut": whatif.RemoveEdges(((0, 1),)), "isolate": whatif.RemoveNodes((5,))}, dynamics.seeds(g), steps=8, dt=0.02), ("scenario", "l1_delta", "l2_delta", "pearson", "topk_overlap")),
     ("monte_carlo", lambda g, s, d: stats.node_moments(montecarlo.samples(g, dynamics.seeds(g), montecarlo.LognormalNoise(0.1), n_trials=40, steps=10, dt=0.02)), ("node", "mean", "std", "ci_low", "ci_high", "min_score", "max_score")),
     ("node_uncertainty", lambda g, s, d: stats.node_summaries(montecarlo.samples(g, dynamics.seeds(g), montecarlo.EdgeDropout(0.05), n_trials=20, steps=10, dt=0.02), montecarlo.baseline(g, dynamics.seeds(g), steps=10, dt=0.02)), ("node", "baseline_score", "mean", "std", "rank_baseline", "rank_median", "rank_entropy", "consensus_score")),

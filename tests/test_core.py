@@ -285,3 +285,18 @@ def test_streaming_transitions(spark, tmp_path):
     got = sorted((r.user_id, r.previous, r.event_type) for r in spark.table("steps").collect())
     want = sorted((u, a[3], b[3]) for u in (0, 1) for a, b in zip([r for r in rows if r[2] == u], [r for r in rows if r[2] == u][1:], strict=False))
     assert got == want
+
+
+def test_ablation_scan_kinds(spark, g):
+    from graphwright.plans import catalogue
+
+    seed = dynamics.seeds(g, [0])
+    got = {r.i: r for r in whatif.ablation_scan(g, seed, kind="mutations", steps=8, dt=0.02).collect()}
+    assert len(got) == 7
+    for node in (1, 4):
+        want = whatif.evaluate(g, whatif.MutateNode(node), seed, model="heat", steps=8, dt=0.02).first()
+        assert got[node].l1_delta == pytest.approx(want.l1_delta) and got[node].l2_delta == pytest.approx(want.l2_delta)
+    with pytest.raises(GraphError):
+        whatif.ablation_scan(g, seed, kind="chains")
+    all_edges = catalogue.queries()["edge_ablation"](spark, "/root/testdata/sf0.001")
+    assert all_edges.count() > 12 and catalogue.queries()["mutation_scan"](spark, "/root/testdata/sf0.001").select("factor").distinct().count() == 3
