@@ -8,8 +8,8 @@ passages have equal phrases but for those at their edges. Three exchanges settle
 
 1. Phrases, counted by (trigger, phrase) fingerprint: a phrase that an earlier document has is covered whole.
 2. A trigger with several distinct phrases may stand in windows that only some of them share. Those dictionary
-   phrases, once each, are opened into windows, which are ranked by fingerprint: equal windows form the runs that a
-   suffix order of depth `width` would give.
+   phrases, once each, are opened into windows, which are grouped by fingerprint: equal windows form the runs that a
+   suffix order of depth `width` would give. No suffix array is built.
 3. The verdicts return to the block of documents that asked; runs of covered symbols merge into maximal spans.
 
 Fingerprints take 96 bits and more between trigger and phrase (bucket number, 48 and 48 bits). Rows that travel are blobs of
