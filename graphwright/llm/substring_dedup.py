@@ -1,7 +1,7 @@
-"""Substring dedup by Rabin-Karp hashes of every fixed-length window of words.
+"""Substring dedup by Rabin-Karp hashes of fixed-length windows of words.
 
-Words are `[^\\x20\\x09-\\x0D]+`, hashed to 64 bits; the rolling hash of every `width` words is taken, and windows are grouped in
-Spark by fingerprint, run by run (see repeats). Repeated windows merge into maximal removal intervals.
+Words are `[^\\x20\\x09-\\x0D]+`, hashed to 64 bits. Windows of `width` words are grouped into phrases by trigger; each phrase is hashed by
+its first and last window, and only windows of phrases whose trigger is contested are hashed and grouped singly (see repeats). Repeated windows merge into maximal removal intervals.
 
 Contract: whole texts (null: no words). A word goes if a window of `width` words of its document covers it whose words also
 start in a document with a smaller id. Rows of one id don't remove each other; a null id counts as the largest. One row per
