@@ -12,7 +12,8 @@ passages have equal phrases but for those at their edges. Three exchanges settle
    suffix order of depth `width` would give. No suffix array is built.
 3. The verdicts return to the block of documents that asked; runs of covered symbols merge into maximal spans.
 
-Fingerprints take 96 bits and more between trigger and phrase (bucket number, 48 and 48 bits). Rows that travel are blobs of
+Phrases are told apart by bucket number and 48 bits each of trigger and phrase hashes; opened windows by one 64-bit hash, from which both
+48-bit parts that travel derive: n of them match falsely at a chance of about n^2 / 2^65. Rows that travel are blobs of
 one block for one bucket, with each fingerprint once per block, so a passage that a third of all documents share brings one
 entry a block; no group is ever collected whole, and nothing is broadcast. Documents are dealt once by block; the
 same exchange serves all passes.
