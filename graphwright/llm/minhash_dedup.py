@@ -3,11 +3,12 @@
 Shingles are `shingle` consecutive words `[^\\x20\\x09-\\x0D]+` (all of them in a shorter text), weighted by how often they occur in the text. Each
 shingle sends arrivals of a Poisson process with its weight as rate to random slots; a slot keeps the shingle of the first arrival, and a
 shingle stops when its next arrival is later than all that the slots hold. The share of equal slots estimates the probability Jaccard
-J_P(x, y) = sum over d in both of 1 / sum over e of max(x_e / x_d, y_e / y_d). Slots are banded; within a bucket, a maximum spanning forest by the
-estimate proposes one edge fewer than rows, and each edge is verified by the exact J_P of both whole texts. What verified edges leave
-apart is swept: in each bucket, rows outside its largest component propose their best candidates in other components, then all of them, so
-that at the end every pair of a bucket with an estimate above the slack is joined by verified links or was itself verified.
-Large buckets are dealt into parts, so that no bucket is one task, and rows that propose meet every part; pairs are listed only between components.
+J_P(x, y) = sum over d in both of 1 / sum over e of max(x_e / x_d, y_e / y_d). Slots are banded, and rows that share a band are
+candidates. Within a bucket, a maximum spanning forest by the estimate proposes one edge fewer than rows, and each edge is verified by the
+exact J_P of both whole texts. What these links leave apart is swept: in every bucket with several components, each row outside the largest
+one meets every row of the other components, with its whole text, and the exact J_P decides. So each pair that shares a band is
+joined by verified links in the end, or was itself found below the similarity: estimates only choose what is tried first. Large buckets are dealt into parts by rows and by size, so that no
+bucket is one task; rows that ask meet every part; only links leave a task, one for each component that a row joins there.
 
 Texts with equal word sequences are one class before all that. Contract of near_duplicates: one row per input row, cluster_id is the smallest doc_id
 reachable by links of at least `similarity`; null and wordless texts link with nothing; null ids neither (null cluster). Rows of
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, settled
+from .components import components, settled, written
 from .hashing import U64, Rolling, mix
 from .repeats import raw, word_symbols
 
@@ -33,11 +34,11 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 16, 4
 #: Rows of a bucket that are compared at once.
 PART = 512
-#: Estimates below the similarity by more than this (over four standard deviations) aren't verified.
+#: Shingles of a part that are compared at once.
+PART_SHINGLES = 1 << 18
+#: The forests propose no edge whose estimate is below the similarity by more than this; the sweep meets all pairs, whatever their estimate.
 SLACK = 0.22
-#: Candidates that a row proposes in each part of its buckets before all others are.
-FIRST = 16
-SKETCH = "doc_id long, content binary, slots binary, bands array<long>"
+SKETCH = "doc_id long, content binary, size long, slots binary, bands array<long>"
 
 
 def shingles(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +80,7 @@ def sketches(shingle: int, bands: int, band_rows: int) -> Callable:
             keys = mix(keys) + slots[:, k::band_rows]
         keys, prints = mix(keys).view(np.int64), (slots >> U64(56)).astype(np.uint8)
         content = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in words]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(content), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "content", "slots", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(content), pa.array([len(x) for x in words], pa.int64()), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "content", "size", "slots", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,16 +147,16 @@ def forests(least: float) -> Callable:
     return run
 
 
-def candidates(rows: DataFrame, least: float, part: int) -> DataFrame:
-    """(a, b): likely links between rows (band, id, slots) by bucket and part; what lies in different parts meets in apart()."""
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+def candidates(rows: DataFrame, sizes: DataFrame, least: float, part: int) -> DataFrame:
+    """(a, b): likely links between rows (band, id, slots) by bucket and part; what lies in different parts meets in the sweep."""
     # both sides are shuffled, so that Spark can split a bucket that many share
     dealt = rows.join(sizes.hint("shuffle_merge"), "band").select("band", own_part(F.ceil(F.col("n") / part)).alias("part"), "id", "slots")
     return settled(dealt.repartition("band", "part").sortWithinPartitions("band", "part", "id").mapInArrow(forests(least), "a long, b long")).distinct()
 
 
 def own_part(parts: Column) -> Column:
-    return F.pmod(F.xxhash64("id", F.lit(0)), parts).cast("int")
+    """By id and bucket, so that what one band keeps apart meets in another."""
+    return F.pmod(F.xxhash64("id", "band"), parts).cast("int")
 
 
 def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -187,62 +188,78 @@ def verified(shingle: int, similarity: float) -> Callable:
     return run
 
 
-def sweep(least: float, best: int | None) -> Callable:
-    """Rows (band, part, asks, id, c, slots) sorted by these: of a part of a bucket, first its rows, then those that ask. Of each that asks, (a, b, more)
-    with the `best` likely rows of other components c (None: all); more: it had others."""
+class Part:
+    """Texts of a part of a bucket: their shingles end to end, components (joined here as links are found), and bands."""
+
+    def __init__(self, ids: list, labels: list, asks: list, bands: list, sets: list):
+        self.ids, self.asks, self.bands, self.sets = np.array(ids, np.int64), np.array(asks, bool), np.array(bands, np.int64), sets
+        self.labels, self.joined = np.array(labels, np.int64), {}
+        self.hashes = np.concatenate([h for h, _ in sets])
+        self.shares = np.concatenate([w / w.sum() for _, w in sets])
+        self.row = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+
+    def links(self, i: int, label: int, bands: np.ndarray, band: int, own: tuple, similarity: float) -> Iterator[tuple[int, int]]:
+        """Components that verified links of this text join. Pairs that share an earlier band meet there; of two texts that ask, the later id does."""
+        while label in self.joined:
+            label = self.joined[label]
+        first = int(np.flatnonzero(bands == band)[0])
+        other = (self.labels != label) & ~(self.asks & (self.ids > i)) & ~(self.bands[:, :first] == bands[:first]).any(1)
+        if not other.any():
+            return
+        h, w = own
+        at = np.minimum(np.searchsorted(h, self.hashes), len(h) - 1)
+        both = np.flatnonzero((h[at] == self.hashes) & other[self.row])
+        # two sets agree in no more than the lesser shares of what both have
+        bound = np.bincount(self.row[both], np.minimum(self.shares[both], (w / w.sum())[at[both]]), len(self.ids))
+        for k in np.argsort(-bound, kind="stable")[: int((bound >= similarity - 1e-9).sum())].tolist():
+            theirs = int(self.labels[k])
+            if theirs != label and probability_jaccard(own, self.sets[k]) >= similarity - 1e-12:
+                high, low = max(theirs, label), min(theirs, label)
+                self.joined[high] = low
+                self.labels[self.labels == high] = low
+                label = low
+                yield high, low
+
+
+def sweep(shingle: int, similarity: float) -> Callable:
+    """Rows (band, part, guest, id, asks, c, bands, text) sorted by these: of a part of a bucket, first its rows, then the guests that ask. To (a, b): components that verified links join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, owners, prints = None, None, None, None
+        key, held, part, a, b = None, [], None, [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            band, part, asks, row, c = (np.array(batch.column(k)) for k in range(5))
-            slots = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(row), -1)
-            new = np.flatnonzero((np.diff(band) != 0) | (np.diff(part) != 0) | (np.diff(asks) != 0)) + 1
-            out: dict = {"a": [], "b": [], "more": []}
-            for i, j in zip([0, *new], [*new, len(row)], strict=True):
-                if not asks[i]:
-                    same = (band[i], part[i]) == key
-                    ids, owners, prints = (np.concatenate([x, y[i:j]]) if same else y[i:j] for x, y in zip((ids, owners, prints), (row, c, slots), strict=True))
-                    key = (band[i], part[i])
+            band, number, guest, ids, asks, c = (batch.column(k).to_pylist() for k in range(6))
+            bands, texts = np.array(batch.column(6).flatten(), np.int64).reshape(batch.num_rows, -1), batch.column(7)
+            for i in range(batch.num_rows):
+                if (band[i], number[i]) != key:
+                    key, held, part = (band[i], number[i]), [], None
+                own = shingles(word_symbols(raw(texts, i)), shingle)
+                if not guest[i]:
+                    held.append((ids[i], c[i], asks[i], bands[i], own))
                     continue
-                if (band[i], part[i]) != key:
-                    continue  # a part without rows of its own
-                for at in range(i, j, 64):
-                    to = min(at + 64, j)
-                    s = (slots[at:to, None] == prints).mean(2)
-                    s[(s < least) | (c[at:to, None] == owners)] = -1
-                    for k in np.flatnonzero(s.max(1) >= 0):
-                        likely = np.flatnonzero(s[k] >= 0)
-                        more = best is not None and len(likely) > best
-                        if more:
-                            likely = likely[np.argsort(-s[k, likely], kind="stable")[:best]]
-                        out["a"].append(np.minimum(ids[likely], row[at + k]))
-                        out["b"].append(np.maximum(ids[likely], row[at + k]))
-                        out["more"].append(np.full(len(likely), more))
-                if sum(map(len, out["a"])) > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out.values()], names=list(out))
-                    out = {"a": [], "b": [], "more": []}
-            if out["a"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out.values()], names=list(out))
+                if part is None and held:
+                    part, held = Part(*map(list, zip(*held, strict=True))), []
+                for x, y in part.links(ids[i], c[i], bands[i], band[i], own, similarity) if part else ():
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = [], []
 
     return run
 
 
-def apart(classes: DataFrame, links: DataFrame, least: float, best: int | None, part: int) -> DataFrame | None:
-    """(a, b, more): likely links between what the verified links leave apart within a bucket; None if they leave nothing apart."""
-    state = classes.join(components(links), "id", "left").select("content", "id", F.coalesce("component", "id").alias("c"), F.explode("bands").alias("band"))
-    tally = state.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "c"))["c"].alias("top"), F.sum("n").alias("n"), F.count("*").alias("k"))
-    tally = settled(tally.where("k > 1").select("band", "top", F.ceil(F.col("n") / part).cast("int").alias("parts")))
-    if tally.isEmpty():
-        return None
+def apart(classes: DataFrame, texts: DataFrame, reach: DataFrame, shingle: int, similarity: float, part: int) -> DataFrame:
+    """(a, b): components that links join which the verified ones left apart within a bucket. texts: (id, text) of the rows that share a band with another."""
+    state = classes.join(reach, "id", "left").select("id", "size", "bands", F.coalesce("component", "id").alias("c"), F.explode("bands").alias("band"))
+    tally = state.groupBy("band", "c").agg(F.count("*").alias("n"), F.sum("size").alias("s")).groupBy("band").agg(F.max(F.struct("n", "c"))["c"].alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k"))
+    tally = settled(tally.where("k > 1").select("band", "top", F.ceil(F.greatest(F.col("n") / part, F.col("s") / PART_SHINGLES)).cast("int").alias("parts")))
     # both sides are shuffled, so that Spark can split a bucket that many share
-    live = settled(state.join(tally.hint("shuffle_merge"), "band").join(classes.select("content", "slots"), "content").select("band", "parts", F.col("c") != F.col("top"), "id", "c", "slots").toDF("band", "parts", "asks", "id", "c", "slots"))
-    rows = live.select("band", own_part(F.col("parts")).alias("part"), F.lit(0).alias("asks"), "id", "c", "slots")
+    live = state.join(tally.hint("shuffle_merge"), "band").select("id", "band", "parts", (F.col("c") != F.col("top")).alias("asks"), "c", "bands")
+    rows = settled(live).join(texts.hint("shuffle_merge"), "id")
+    held = rows.select("band", own_part(F.col("parts")).alias("part"), F.lit(0).alias("guest"), "id", "asks", "c", "bands", "text")
     # rows that ask go to every part of their bucket
-    asking = live.where("asks").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "id", "c", "slots")
-    met = rows.union(asking).repartition("band", "part").sortWithinPartitions("band", "part", "asks", "id")
-    return settled(met.mapInArrow(sweep(least, best), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
+    asking = rows.where("asks").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("guest"), "id", "asks", "c", "bands", "text")
+    met = held.union(asking).repartition("band", "part").sortWithinPartitions("band", "part", "guest", "id")
+    return settled(met.mapInArrow(sweep(shingle, similarity), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS, part: int = PART) -> DataFrame:
@@ -250,25 +267,21 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     texts = rows.where("doc_id is not null")
     sketch = settled(texts.mapInArrow(sketches(shingle, bands, band_rows), SKETCH))
-    classes = settled(sketch.groupBy("content").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.any_value("slots").alias("slots"), F.any_value("bands").alias("bands")))
-    edges = candidates(classes.select(F.explode("bands").alias("band"), "id", "slots"), similarity - SLACK, part)
-
-    def exact(edges: DataFrame) -> DataFrame:
-        # one shuffle serves both joins; rows of one id count with each of their texts
-        ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        by_id = texts.join(ends, "doc_id", "left_semi").repartition("doc_id").dropDuplicates(["doc_id", "text"])
-        pairs = edges.join(by_id.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(by_id.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-        return settled(pairs.select("a", "b", "x", "y").mapInArrow(verified(shingle, similarity), "a long, b long"))
-
-    links = exact(edges)
-    for best in (FIRST, None):
-        more = apart(classes, links, similarity - SLACK, best, part)
-        if more is None or more.isEmpty():
-            break
-        links = links.union(exact(more.select("a", "b")))
-        if more.where("more").isEmpty():
-            break
-    reach = components(links)
+    classes = settled(sketch.groupBy("content").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("slots").alias("slots"), F.any_value("bands").alias("bands")))
+    banded = classes.select(F.explode("bands").alias("band"), "id", "slots")
+    sizes = settled(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    ends = settled(banded.select("band", "id").join(sizes.hint("shuffle_merge"), "band").select("id").distinct())
+    # rows of one id count with each of their texts
+    sharers = written(texts.select(F.col("doc_id").alias("id"), "text").join(ends, "id", "left_semi").dropDuplicates(["id", "text"]))
+    edges = candidates(banded, sizes, similarity - SLACK, part)
+    pairs = edges.join(sharers.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(sharers.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    links = settled(pairs.select("a", "b", "x", "y").mapInArrow(verified(shingle, similarity), "a long, b long"))
+    reach = settled(components(links))
+    more = apart(classes, sharers, reach, shingle, similarity, part)
+    if not more.isEmpty():
+        merged = settled(components(more))
+        moved = reach.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        reach = moved.union(merged.join(reach, "id", "left_anti").select("id", "component"))
     known = classes.join(reach, "id", "left").select("content", "n", F.coalesce("component", "id").alias("cluster_id"))
     grouped = sketch.select("doc_id", "content").join(known, "content").select("doc_id", "cluster_id", F.col("n").alias("n_same"))
     lone = rows.where(F.col("doc_id").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
