@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import written
 from .native import BLANK, join_small, let, whole, words_of
 
 # Common words by language.
@@ -49,13 +50,14 @@ def common_only(text: Column, words: str) -> Column:
 
 def measured(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """The table with __text, __lang, n_chars, class counts c_* and common-word counts w_*."""
-    df = docs.select("*", whole(text).alias("__text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("__lang"))
+    key = F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit(""))
+    df = docs.select("*", whole(text).alias("__text"), key.alias("__lang"))
     low = F.lower("__text")
     named = {**COMMON, None: OTHERS}
     lists, common = F.lit(OTHERS.replace(" ", ",")), common_only(low, OTHERS)
     for name, words in COMMON.items():
-        lists = F.when(F.col("__lang") == name, F.lit(words.replace(" ", ","))).otherwise(lists)
-        common = F.when(F.col("__lang") == name, common_only(low, named[name])).otherwise(common)
+        lists = F.when(F.col("__lang") == f"={name}", F.lit(words.replace(" ", ","))).otherwise(lists)
+        common = F.when(F.col("__lang") == f"={name}", common_only(low, named[name])).otherwise(common)
     # letters of the class "rest" go in one pass, so that the counts run over what is left
     special = F.regexp_replace("__text", rf"[^{UPPER}{DIGIT}{MARK}{SYMBOL} \t-\r]++", "")
     df = df.select("*", F.length("__text").alias("__chars"), special.alias("__special"), words_of(common).alias("__common"), lists.alias("__list"))
@@ -65,12 +67,6 @@ def measured(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return df.select("*", *((F.length("__codes") - F.length(F.replace(F.col("__codes"), F.lit(chr(65 + k)), F.lit("")))).alias(f"w_{k}") for k in range(BINS)))
 
 
-def counted(measures: DataFrame) -> DataFrame:
-    """With n_words and the bin of all words that aren't common."""
-    n = F.size(words_of(F.col("__text"))).cast("long")
-    return measures.withColumn("n_words", n).withColumn(f"w_{BINS}", F.col("n_words") - F.size("__common"))
-
-
 def references(measures: DataFrame) -> DataFrame:
     names = [f"c_{c}" for c in CLASSES] + [f"w_{k}" for k in range(BINS + 1)]
     return measures.groupBy("__lang").agg(*(F.sum(n).alias(f"r{n}") for n in names), F.sum("n_words").alias("r_words"))
@@ -112,27 +108,28 @@ def repeated_words(words: Column, size: int = GRAM) -> Column:
     return F.when(n < size, 0).otherwise(let(grams, covered)).cast("long")
 
 
-def verdicts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE) -> DataFrame:
-    """The table with the base columns, class_distance, word_distance, base_failed and kept beside its own (internal ones start with __)."""
+def verdicts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE, slim: bool = False) -> DataFrame:
+    """The table (slim: its ids only) with the base columns, class_distance, word_distance, base_failed and kept beside its own (internal ones start with __)."""
     source = docs.select(*(F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(docs.columns)))
     names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
-    t, g = names[text], names[lang]
-    refs = references(counted(measured(source, t, g)))
-    df = join_small(measured(source, t, g).withColumn("__words", words_of(F.col("__text"))), refs, ["__lang"], F.col(names[doc_id]))
-    df = df.withColumn("n_words", F.size("__words").cast("long")).withColumn(f"w_{BINS}", F.col("n_words") - F.size("__common"))
+    # texts are counted once: histograms and base columns are written, as references need all of them first
+    counts = measured(source, names[text], names[lang]).withColumn("__words", words_of(F.col("__text"))).withColumn("n_words", F.size("__words").cast("long"))
+    lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
+    counts = counts.withColumn(f"w_{BINS}", F.col("n_words") - F.size("__common")).select(
+        *([names[doc_id]] if slim else names.values()), "__lang", "__chars", "n_words", *(f"c_{c}" for c in CLASSES), *(f"w_{k}" for k in range(BINS + 1)),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("__words")).alias("n_repeat_words"),
+    )
+    counts = written(counts)
+    df = join_small(counts, references(counts), ["__lang"], F.col(names[doc_id]))
     known = F.coalesce(F.col("r_words"), F.lit(0)) >= min_reference
     chars = distance([F.col(f"c_{c}") for c in CLASSES], [F.col(f"rc_{c}") for c in CLASSES])
     common = distance([F.col(f"w_{k}") for k in range(BINS + 1)], [F.col(f"rw_{k}") for k in range(BINS + 1)])
-    lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     df = df.select(
-        *names.values(), "n_words", "__text", "__words",
-        (F.col("__chars") - F.col("c_blank")).cast("long").alias("word_chars"),
-        F.col("c_symbol").cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        "*", (F.col("__chars") - F.col("c_blank")).cast("long").alias("word_chars"), F.col("c_symbol").cast("long").alias("n_symbols"),
         F.when(known & (F.col("__chars") >= min_chars), chars).otherwise(0.0).alias("class_distance"),
         F.when(known & (F.col("n_words") >= min_words), common).otherwise(0.0).alias("word_distance"),
     )
-    df = df.withColumn("n_repeat_words", repeated_words(F.col("__words")))
     df = df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance))
 
@@ -142,7 +139,7 @@ OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "b
 
 def judged(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and both distances."""
-    df = verdicts(docs, doc_id=doc_id, **options)
+    df = verdicts(docs, doc_id=doc_id, slim=True, **options)
     return df.select(F.col(f"__in_{docs.columns.index(doc_id)}").alias("doc_id"), *OUT)
 
 
