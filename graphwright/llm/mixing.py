@@ -2,7 +2,7 @@
 
 A source's weight is its token share to the power of an exponent, normalised: 1 keeps the shares, 0 makes them equal. The exponent is bisected
 (many points at a time: each round narrows the bracket by POINTS) to the least one at which no source is repeated over `max_repetition` times and, if
-`target_entropy` (bits) is given, the weights' entropy isn't over it. The budget of tokens is a parameter; without it, it is the least at which every
+`target_entropy` (bits) is given, the weights' entropy isn't over it; limits that no exponent meets are an error. The budget of tokens is a parameter; without it, it is the least at which every
 source is read whole once, so that nothing is dropped.
 
 The weights are realised as budgeted block permutations: a source's documents are dealt into blocks by hash, every epoch reads its
@@ -32,8 +32,8 @@ ROUNDS = 6
 SEED = 20
 
 
-def bisected(totals: DataFrame, max_repetition: float | None, target_entropy: float | None) -> float:
-    """The least exponent from 0 to 1 that meets both limits; 1 if none does. totals: (source, tokens), tokens over 0."""
+def bisected(totals: DataFrame, max_repetition: float | None, target_entropy: float | None, budget: float | None = None) -> float:
+    """The least exponent from 0 to 1 that meets both limits; an error if none does. totals: (source, tokens), tokens over 0."""
     low, high = 0.0, 1.0
     largest = totals.agg(F.max("tokens")).first()[0] or 1
     for _ in range(ROUNDS):
@@ -41,14 +41,18 @@ def bisected(totals: DataFrame, max_repetition: float | None, target_entropy: fl
         tried = totals.select((F.col("tokens") / F.lit(float(largest))).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(POINTS))).alias("k"))
         a = F.lit(low) + F.col("k") * F.lit(step)
         w = F.pow("s", a)
-        # repetition of source i relative to the one read least: s_i ** (a - 1) over the least of these
+        # source i is read budget * s_i ** (a - 1) / (z * largest) times; without a budget, that of the source read least is 1
         per = F.pow("s", a - 1)
-        found = tried.groupBy("k").agg(F.sum(w).alias("z"), F.sum(w * F.log2(w)).alias("wl"), (F.max(per) / F.min(per)).alias("rep")).orderBy("k").collect()
+        read = F.max(per) / F.min(per) if budget is None else F.max(per) / F.sum(w) * F.lit(budget / largest)
+        found = tried.groupBy("k").agg(F.sum(w).alias("z"), F.sum(w * F.log2(w)).alias("wl"), read.alias("rep")).orderBy("k").collect()
+        if not found:
+            return high
         meets = [
             (max_repetition is None or r.rep <= max_repetition + 1e-12) and (target_entropy is None or math.log2(r.z) - r.wl / r.z <= target_entropy + 1e-12)
             for r in found
         ]
-        first = next((i for i, ok in enumerate(meets) if ok), POINTS)
+        if (first := next((i for i, ok in enumerate(meets) if ok), None)) is None:
+            raise ValueError(f"no exponent from 0 to 1 meets max_repetition {max_repetition} and target_entropy {target_entropy} with a budget of {budget} tokens")
         if first == 0:
             return low
         low, high = low + (first - 1) * step, low + first * step
@@ -66,7 +70,7 @@ def plan(docs: DataFrame, *, doc_id: str, source: str, text: str, budget: float
     blocks = settled(rows.groupBy("__source", "__block").agg(F.sum("__tokens").alias("tokens")))
     totals = settled(blocks.groupBy("__source").agg(F.sum("tokens").alias("tokens")))
     positive = totals.where("tokens > 0")
-    exponent = bisected(positive, max_repetition, target_entropy)
+    exponent = bisected(positive, max_repetition, target_entropy, budget)
     w = F.pow("tokens", F.lit(exponent))
     z = positive.agg(F.sum(w).alias("z"), F.max(F.col("tokens") / w).alias("b")).first()
     z_sum, least = (z.z or 1.0), (z.b or 0.0)
