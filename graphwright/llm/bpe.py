@@ -4,7 +4,7 @@ A text is split by the tokenizer's pattern. A pre-token that stands in the vocab
 hash over the vocabulary's byte strings (hash and displace: a bucket's displacement sends each of its keys to a slot of its own;
 buckets of one key hold the slot itself), checked by its bytes. Any other is cut into bytes linked as a list; a heap
 holds the ranks of linked pairs, and the least (leftmost on ties) is merged until none is in the vocabulary. Results of either
-tier are memoised per Python worker, a bounded number. Decoding joins the ids' bytes.
+tier are memoised per Python worker, a bounded number (2 * MEMO). Decoding joins the ids' bytes.
 
 The vocabulary file's path is a parameter; the file is shipped with the job only as this path, so it has to be installed on
 every executor. Contract: whole texts; null is the empty text; no special tokens; other columns pass through; rows are
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 1 << 18
+MEMO = 1 << 16
 #: Whole pre-tokens over this length are looked up and merged like others, but not memoised.
 MEMO_LENGTH = 48
 
@@ -181,14 +181,32 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+#: Ids in a batch that leaves a worker, unless one text has more.
+BATCH_IDS = 1 << 24
+
+
 def mapped(docs: DataFrame, text: str, make: Callable, extra: list[pa.Field], schema: str, keep: list[str]) -> DataFrame:
+    """make(text) gives the values of the extra columns. The text travels last, so that no column's name matters."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            made = make(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), *(x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, extra, strict=True))], names=[*(n for n in batch.schema.names if n != "__text"), *(f.name for f in extra)])
+            texts, names = batch.columns[-1], [*batch.schema.names[:-1], *(f.name for f in extra)]
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text")).mapInArrow(run, schema)
+            def out(low: int, high: int, rows: list[tuple], columns: list = batch.columns[:-1], names: list[str] = names) -> pa.RecordBatch:
+                values = zip(*rows, strict=True) if rows else [[]] * len(extra)
+                return pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in columns), *(pa.array(v, f.type) for v, f in zip(values, extra, strict=True))], names=names)
+
+            rows, low, held = [], 0, 0
+            for i in range(batch.num_rows):
+                size, row = make(texts[i].as_py())
+                rows.append(row)
+                held += size
+                if held > BATCH_IDS:
+                    yield out(low, i + 1, rows)
+                    rows, low, held = [], i + 1, 0
+            yield out(low, batch.num_rows, rows)
+
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")).mapInArrow(run, schema)
 
 
 def _ddl(docs: DataFrame, keep: list[str]) -> list[str]:
@@ -199,12 +217,9 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep
     """The columns in keep (all but those that clash), with ids array<int> and n_tokens."""
     keep = [c for c in docs.columns if c not in ("ids", "n_tokens")] if keep is None else keep
 
-    def make(column: pa.Array) -> tuple:
-        c = codec(path, pattern)
-        found = [c.encode(t) for t in column.to_pylist()]
-        sizes = np.array([len(x) // 4 for x in found], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32))), pa.array(sizes)
+    def make(t: str) -> tuple[int, tuple]:
+        ids = codec(path, pattern).encode(t)
+        return len(ids) // 4, (np.frombuffer(ids, np.int32), len(ids) // 4)
 
     fields = [pa.field("ids", pa.list_(pa.int32())), pa.field("n_tokens", pa.int64())]
     return mapped(docs, text, make, fields, ", ".join([*_ddl(docs, keep), "ids array<int>", "n_tokens long"]), keep)
@@ -226,15 +241,25 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, ids: str = "ids") ->
     return encoded.select(*(F.col(f"`{x}`") for x in keep)).mapInArrow(run, ", ".join([*_ddl(encoded, keep), "decoded binary"]))
 
 
+def encode_verified(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep: list[str]) -> DataFrame:
+    """The columns in keep with ids, n_tokens and decoded_sha256 (of the bytes that the ids decode to), in one pass and one worker a task."""
+
+    def make(t: str) -> tuple[int, tuple]:
+        c = codec(path, pattern)
+        ids = c.encode(t)
+        return len(ids) // 4, (np.frombuffer(ids, np.int32), len(ids) // 4, hashlib.sha256(c.decode(ids)).hexdigest())
+
+    fields = [pa.field("ids", pa.list_(pa.int32())), pa.field("n_tokens", pa.int64()), pa.field("decoded_sha256", pa.string())]
+    return mapped(docs, text, make, fields, ", ".join([*_ddl(docs, keep), "ids array<int>", "n_tokens long", "decoded_sha256 string"]), keep)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep: list[str]) -> DataFrame:
     """The columns in keep with n_tokens, ids_sha256 and decoded_sha256: texts are encoded, and the ids decoded, in one pass."""
 
-    def make(column: pa.Array) -> tuple:
-        c, rows = codec(path, pattern), []
-        for t in column:
-            ids = c.encode(t.as_py())
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
-        return tuple(zip(*rows, strict=True)) or ([], [], [])
+    def make(t: str) -> tuple[int, tuple]:
+        c = codec(path, pattern)
+        ids = c.encode(t)
+        return len(ids) // 4, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest())
 
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     return mapped(docs, text, make, fields, ", ".join([*_ddl(docs, keep), "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]), keep)
