@@ -48,8 +48,10 @@ def pivots_of(sample: np.ndarray, k: int) -> np.ndarray:
     return sample[chosen]
 
 
-def unit_rows(vectors: list) -> np.ndarray:
-    x = np.array(vectors, float)
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1. Each is scaled by its largest component first, so that no square over- or underflows."""
+    x = np.array(x, float)
+    x /= np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -69,8 +71,7 @@ def packed(rows: DataFrame) -> DataFrame:
 
 
 def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    d = np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots.T)))
+    d = np.sqrt(np.maximum(0, 2 - 2 * (unit_rows(x) @ pivots.T)))
     return d, d.argmin(1)
 
 
@@ -120,9 +121,8 @@ class Unit:
     """The own vectors of a unit, their counts of links and their labels."""
 
     def __init__(self, ids: np.ndarray, n: np.ndarray, x: np.ndarray, cosine: float):
-        self.ids, self.n, self.x, self.cosine = ids, n, x, cosine
-        self.norm = np.linalg.norm(x, axis=1)
-        self.f32 = (x / self.norm[:, None]).astype(np.float32)
+        self.ids, self.n, self.x, self.cosine = ids, n, unit_rows(x), cosine
+        self.f32 = self.x.astype(np.float32)
         self.links = np.zeros(len(ids), np.int64)
         self.label = np.arange(len(ids))
         for at in range(0, len(ids), 512):
@@ -133,12 +133,12 @@ class Unit:
             self.join(hit, own=at)
 
     def hits(self, y: np.ndarray) -> np.ndarray:
-        norm = np.linalg.norm(y, axis=1)
-        got = (y / norm[:, None]).astype(np.float32) @ self.f32.T
+        y = unit_rows(y)
+        got = y.astype(np.float32) @ self.f32.T
         hit = got >= self.cosine
         i, j = np.nonzero(np.abs(got - np.float32(self.cosine)) < 1e-4)
         if len(i):
-            hit[i, j] = np.einsum("ij,ij->i", y[i], self.x[j]) / (norm[i] * self.norm[j]) >= self.cosine
+            hit[i, j] = np.einsum("ij,ij->i", y[i], self.x[j]) >= self.cosine
         return hit
 
     def join(self, hit: np.ndarray, own: int | None = None) -> np.ndarray:
