@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import word_spans
-from .repeats import BLOCK_BYTES, raw, remove_repeats, word_symbols
+from .repeats import BLOCK_BYTES, NO_ID, raw, remove_repeats, word_symbols
 
 WIDTH = 50
 GRAM = 8
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, starts array<long>, ends array<long>"
+SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, starts array<long>, ends array<long>, text_sha256 string"
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -53,31 +53,35 @@ def _finish(digest: bool):
             data, cut = raw(texts, i).tobytes(), spans(i)
             gone = int((cut[1] - cut[0]).sum())
             n, kept = kept_words(data, cut)
-            rows.append((doc, n + gone, gone, hashlib.sha256(kept).hexdigest()) if digest else (doc, n + gone, gone, trimmed_text(data, cut), cut[0].tolist(), cut[1].tolist()))
+            rows.append((doc, n + gone, gone, hashlib.sha256(kept).hexdigest()) if digest else (doc, n + gone, gone, trimmed_text(data, cut), cut[0].tolist(), cut[1].tolist(), hashlib.sha256(data).hexdigest()))
         names = [x.split()[0] for x in (DIGEST if digest else SCHEMA).split(", ")]
-        kinds = [pa.int64()] * 3 + [pa.string()] + ([] if digest else [pa.list_(pa.int64())] * 2)
+        kinds = [pa.int64()] * 3 + [pa.string()] + ([] if digest else [*[pa.list_(pa.int64())] * 2, pa.string()])
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
-def remove_repeated_words(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", digest: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, and the trimmed text with the removed intervals of words, or the kept words' digest."""
+def remove_repeated_words(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", digest: bool = False, with_digest: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_removed, and the trimmed text with the removed intervals of words (with_digest: and the digest of the whole text), or the kept words' digest."""
     if not 1 <= gram <= width:
         raise ValueError("gram must be from 1 to width")
     out = remove_repeats(docs, _finish(digest), DIGEST if digest else SCHEMA, symbols=word_symbols, width=width, gram=gram, doc_id=doc_id, text=text, block_bytes=block_bytes)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")))
+    out = out if digest or with_digest else out.drop("text_sha256")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def trimmed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", width: int = WIDTH) -> DataFrame:
     """The table with repeated passages cut from its texts, and n_chars (if it has that column) counted anew.
 
-    Documents that lose all their words go; those that lose none keep their text as it is. Rows of one id are cut alike.
+    Documents that lose all their words go; those that lose none keep their text as it is. Rows of one id and text are cut alike; rows of one id with
+    other texts, and rows without an id (the largest), each by their own text.
     """
-    cut = remove_repeated_words(docs.where(F.col(doc_id).isNotNull()), width=width, doc_id=doc_id, text=text).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("__id"), F.sha2(F.col("kept_text"), 256).alias("__print"), F.col("kept_text").alias("__kept"), F.col("n_words").alias("__n"), F.col("n_removed").alias("__gone"))
-    out = docs.join(cut.dropDuplicates(["__id"]).drop("__print"), F.col(doc_id) == F.col("__id"), "left").where("__gone is null or __gone < __n")
+    cut = remove_repeated_words(docs, width=width, doc_id=doc_id, text=text, with_digest=True).where("n_removed > 0")
+    # a cut belongs to an id and the text that it was taken from
+    cut = cut.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("text_sha256").alias("__print"), F.col("kept_text").alias("__kept"), F.col("n_words").alias("__n"), F.col("n_removed").alias("__gone"))
+    own = (F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("__id")) & (F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256) == F.col("__print"))
+    out = docs.join(cut.dropDuplicates(["__id", "__print"]), own, "left").where("__gone is null or __gone < __n")
     changed = F.coalesce(F.col("__kept"), F.col(text))
     fresh = {text: changed, n_chars: F.when(F.col("__kept").isNull(), F.col(n_chars)).otherwise(F.length("__kept")).cast(dict(docs.dtypes).get(n_chars, "long"))}
-    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns))
+    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in docs.columns))
