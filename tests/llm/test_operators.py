@@ -277,6 +277,41 @@ def test_perfect_hash():
     assert None not in h.keys
 
 
+def test_mixing_schedule_is_recomputed(spark):
+    """Block order, epochs, the block on each source's edge and ties, from xxhash64 of Spark alone."""
+    rows = [(i // 2 if i % 7 else None, "w " * (i % 5), ["a", "b", None][i % 3 if i < 60 else 0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = [tuple(r) for r in mixing.schedule(df, max_repetition=3.0, budget=400).collect()]
+    h = "coalesce(cast(doc_id as string), '')"
+    hashed = df.selectExpr("doc_id", "coalesce(source, '\0null') source", "text", f"cast(pmod(pmod(xxhash64({h}, {mixing.SEED}), {1 << 20}), {mixing.MIN_BLOCKS}) as int) block", f"xxhash64({h}, {mixing.SEED + 1}) turn").collect()
+    own = Counter()
+    for r in hashed:
+        own[r.source] += len(r.text.split())
+    a = mixing.bisected(spark.createDataFrame(list(own.items()), "source string, tokens long"), 3.0, None, 400.0)
+    z = sum(v**a for v in own.values())
+    want = []
+    for s in own:
+        quota, at, epoch = math.floor(400 * own[s] ** a / z + 1e-6), 0, 0
+        while at < quota:
+            order = spark.createDataFrame([(s, b, epoch) for b in sorted({r.block for r in hashed if r.source == s})], "s string, b int, e int").selectExpr("b", f"xxhash64(s, b, e, {mixing.SEED}) h").collect()
+            for b, _ in sorted(order, key=lambda r: (r.h, r.b)):
+                mine = [r for r in hashed if (r.source, r.block) == (s, b)]
+                size, room = sum(len(r.text.split()) for r in mine), quota - at
+                if at >= quota:
+                    break
+                for key in sorted({(r.turn, r.doc_id is not None, r.doc_id or 0) for r in mine}):
+                    same = [r for r in mine if (r.turn, r.doc_id is not None, r.doc_id or 0) == key]
+                    room -= sum(len(r.text.split()) for r in same)
+                    if room < 0:
+                        break
+                    want += [(r.doc_id, None if s == "\0null" else s, len(r.text.split()), b, own[s] ** a / z, epoch, at / quota) for r in same]
+                at += size
+            epoch += 1
+    assert sorted(map(repr, (x[:4] + x[5:6] for x in out))) == sorted(map(repr, (x[:4] + x[5:6] for x in want)))
+    got, due = sorted(out, key=repr), sorted(want, key=repr)
+    assert all(math.isclose(x[4], y[4], rel_tol=1e-9) and math.isclose(x[6], y[6], abs_tol=1e-12) for x, y in zip(got, due, strict=True))
+
+
 def test_mixing_keeps_all_and_meets_limit(docs):
     out = mixing.schedule(docs, max_repetition=2.0).collect()
     times = Counter((r.doc_id, r.source) for r in out)
@@ -302,10 +337,17 @@ def test_mixing_exponent_and_budget(spark):
     h = lambda a: -sum(p * math.log2(p) for p in [v**a / sum(x**a for x in n.values()) for v in n.values()])
     e = mixing.bisected(totals, None, 0.9)
     assert math.isclose(h(e), 0.9, abs_tol=1e-6)
+    # with a budget, the limit holds for what that budget reads
+    a = mixing.bisected(totals, 4.0, None, 5000.0)
+    assert math.isclose(5000 * 100**a / sum(v**a for v in n.values()), 4.0 * 100, rel_tol=1e-6)
     z = {s: v**a for s, v in n.items()}
     read = Counter()
     for r in mixing.schedule(df, max_repetition=4.0, budget=5000).collect():
         read[r.source] += r.n_tokens
+    assert all(read[s] <= 4 * n[s] for s in n)
+    for limits in ({"max_repetition": 1.5, "budget": 100_000}, {"max_repetition": None, "target_entropy": 0.1}):
+        with pytest.raises(ValueError, match="no exponent"):
+            mixing.schedule(df, **limits)
     for s in n:
         quota = 5000 * z[s] / sum(z.values())
         assert quota - 10 <= read[s] <= quota + 1e-6
