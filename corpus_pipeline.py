@@ -10,10 +10,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from graphwright.llm import bpe, minhash_dedup, mixing, quality_rules, substring_dedup
-from graphwright.llm.components import settled
+from graphwright.llm.components import shared_folder
 from graphwright.llm.queries import VOCABULARY
 
 
@@ -23,9 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays; of rows of one id, one."""
+    """Of each group of near-duplicates the document of the smallest id stays; equal rows of one id and text stay once, null ids aren't compared."""
     kept = minhash_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return stay.unionByName(docs.where("doc_id is null"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_tokens, and the digest of the decoded bytes."""
-    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    encoded = bpe.encode(docs, path, pattern, keep=["doc_id", "lang", "source"])
-    return bpe.decode(encoded, path, pattern).select("doc_id", "lang", "source", "ids", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode_verified(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring", substring), ("mixture", mixture), ("tokens", tokens)]
@@ -54,8 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    settled(spark.range(1))  # sets a checkpoint folder where the session names none
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    shared = shared_folder(spark)
     for name, stage in STAGES:
         path = f"{shared}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
