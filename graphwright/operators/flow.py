@@ -64,28 +64,24 @@ def _solve(m: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bridge(a: np.ndarray, s: list[int], t: list[int], beta: float = 1.0, ws: dict | None = None) -> dict:
-    """Expected visits of a walk from s that is told to reach t: Doob's transform by the hitting probabilities."""
-    n, p, start = len(a), walk_matrix(a, beta), distribution(len(a), s, ws)
-    goal = np.zeros(n, bool)
-    goal[t] = True
-    h, free = goal.astype(float), np.flatnonzero(~goal)
-    if len(free):
-        h[free] = np.clip(_solve((1 + 1e-12) * np.eye(len(free)) - p[np.ix_(free, free)], p[np.ix_(free, np.flatnonzero(goal))].sum(1)), 0, 1)
-    live = ~goal & (h > 1e-15)
-    q = np.zeros_like(p)
-    q[live] = p[live] * h / h[live, None]
-    total = q.sum(1, keepdims=True)
-    q = np.divide(q, total, out=np.zeros_like(q), where=total > 1e-15)
-    q[goal, goal] = 0
-    q[np.flatnonzero(goal), np.flatnonzero(goal)] = 1
-    visits, k = np.zeros(n), np.flatnonzero(live)
-    if len(k):
-        visits[k] = np.maximum(_solve(((1 + 1e-12) * np.eye(len(k)) - q[np.ix_(k, k)]).T, start[k]), 0)
-    edge = visits[:, None] * q
-    edge = (edge + edge.T) / 2
-    np.fill_diagonal(edge, 0)
-    logs = np.where(q > 1e-15, q * np.log(np.where(q > 1e-15, q, 1)), 0).sum(1)
-    return {"hitting": h, "node": visits, "edge": edge, "absorption": float(start @ h), "entropy_rate": float(-(visits @ logs) / max(visits.sum(), 1e-15))}
+    """Expected visits of a walk from s that is told to reach t.
+
+    h is the chance to reach t, N the visits of the free walk before that. Told so, the walk from i visits j N_ij h_j / h_i times and steps from j to k with
+    the chance p_jk h_k / h_j (Doob's transform), so one factorisation gives both.
+    """
+    p, start, inside = walk_matrix(a, beta), distribution(len(a), s, ws), np.setdiff1d(np.arange(len(a)), t)
+    h, visits, steps = np.ones(len(a)), np.zeros(len(a)), np.zeros_like(p)
+    stay = (1 + 1e-12) * np.eye(len(inside)) - p[np.ix_(inside, inside)]
+    h[inside] = np.clip(_solve(stay, p[np.ix_(inside, np.unique(t))].sum(1)), 0, 1)
+    live = inside[h[inside] > 1e-15]
+    odds = np.zeros(len(a))
+    odds[live] = start[live] / h[live]
+    visits[inside] = h[inside] * np.maximum(_solve(stay.T, odds[inside]), 0)
+    steps[live] = p[live] * h / h[live, None]
+    edge = visits[:, None] * steps
+    edge = (edge + edge.T) * (1 - np.eye(len(a))) / 2
+    information = -np.sum(steps * np.log(steps, where=steps > 1e-15, out=np.zeros_like(steps)), axis=1)
+    return {"hitting": h, "node": visits, "edge": edge, "absorption": float(start @ h), "entropy_rate": float(visits @ information / max(visits.sum(), 1e-15))}
 
 
 def corridor(a: np.ndarray, s: list[int], t: list[int], times: list[float], ws: dict | None = None, wt: dict | None = None) -> dict:
