@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 1 << 16
+MEMO = 1 << 18
 #: Whole pre-tokens over this length are looked up and merged like others, but not memoised.
 MEMO_LENGTH = 48
 
