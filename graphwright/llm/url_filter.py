@@ -3,7 +3,7 @@
 Rules label the urls that they fit; the trees are trained from those labels (at most `max_rows` of them, the first in the order of their
 hashes, a bound on the fit alone), and judge the urls that no rule fits. Features: lengths of url, host and path, depth, labels of the
 host, share of digits, hyphens, entropy of the characters, counts of parameters and fragments, and of the host's last label
-how many labelled urls it has and which share of them is blocked, smoothed. The trees are turned into CASE expressions, so that judging is
+how many other labelled urls it has and which share of them is blocked, smoothed. The trees are turned into CASE expressions, so that judging is
 plain SQL. Everything runs in DataFrame functions and Spark's own tree learner.
 
 Contract of judged(): host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path from there up to `?`, `#` or the end; both
@@ -98,9 +98,12 @@ def judged(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rule
     df = df.select("*", host.alias("__host"), path.alias("__path"))
     df = lexical(df.select("*", rule_of(F.col("__host"), F.col("__path"), rules).alias("__rule")), "__url")
     block = (F.col("__rule.verdict") == "block").cast("double")
-    suffixes = df.where("__rule is not null").groupBy("__suffix").agg(F.log1p(F.count("*")).alias("n"), ((F.sum(block) + 1) / (F.count("*") + 2)).alias("share"))
+    suffixes = df.where("__rule is not null").groupBy("__suffix").agg(F.count("*").alias("n"), F.sum(block).alias("n_blocked"))
     df = join_small(df, suffixes, ["__suffix"], F.col("page_id"))
-    df = df.select("*", F.coalesce("n", F.lit(0.0)).alias("f_suffix_n"), F.coalesce("share", F.lit(0.5)).alias("f_suffix_blocked"))
+    # a labelled url is left out of its own suffix's counts, so that no label is a feature of itself
+    own = F.col("__rule").isNotNull().cast("long")
+    n, n_blocked = F.coalesce("n", F.lit(0)) - own, F.coalesce("n_blocked", F.lit(0.0)) - F.coalesce(block, F.lit(0.0)) * own
+    df = df.select("*", F.log1p(n).alias("f_suffix_n"), ((n_blocked + 1) / (n + 2)).alias("f_suffix_blocked"))
     labelled = df.where("__rule is not null").select(*(f"f_{f}" for f in FEATURES), block.alias("label"), F.xxhash64("__url").alias("__h"), "page_id")
     sample = settled(labelled.orderBy("__h", "page_id").limit(max_rows))
     kinds = [r[0] for r in sample.select("label").distinct().collect()]
