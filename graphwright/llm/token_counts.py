@@ -71,12 +71,14 @@ def flat_blocks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def read_blocks(spark: SparkSession, path: str, *, block_bytes: int = 4 << 20) -> DataFrame:
-    """(file, block, body) of the flat files under a path, through Spark's own reader; file is the path."""
+    """(file, block, body) of the flat files under a path, through Spark's own reader; file is the path. A file is one row there, of 2 GB at most; its
+    blocks are cut out of it before they become rows, so that none carries the file."""
     if block_bytes % 4:
         raise ValueError("blocks must hold whole ids")
     files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "content")
     starts = F.sequence(F.lit(0), F.floor((F.length("content") - 1) / block_bytes).cast("int"))
-    return files.select("file", "content", F.explode(starts).alias("block")).select("file", F.col("block").cast("long").alias("block"), F.substring(F.col("content"), F.col("block") * block_bytes + 1, F.lit(block_bytes)).alias("body"))
+    blocks = F.transform(starts, lambda k: F.substring(F.col("content"), k * block_bytes + 1, F.lit(block_bytes)))
+    return files.select("file", F.posexplode(blocks).alias("block", "body")).withColumn("block", F.col("block").cast("long"))
 
 
 def scanned(dtype: str, end: int):
