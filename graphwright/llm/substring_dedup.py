@@ -1,7 +1,9 @@
 """Substring dedup by Rabin-Karp hashes of fixed-length windows of words.
 
-Words are `[^\\x20\\x09-\\x0D]+`, hashed to 64 bits. Windows of `width` words are grouped into phrases by trigger; each phrase is hashed by
-its first and last window, and only windows of phrases whose trigger is contested are hashed and grouped singly (see repeats). Repeated windows merge into maximal removal intervals.
+Words are `[^\\x20\\x09-\\x0D]+`, hashed to 64 bits; the rolling hash of every window of `width` words is taken. A block of documents sends its distinct hashes to
+their buckets, Spark counts in how many blocks each stands (groupBy and count), and a bucket tells each block which of its windows an earlier document
+has. Windows that repeat within a block are settled there. Repeated windows merge into maximal removal intervals. A window that a third of all
+documents share is one entry a block. Windows are told apart by 64 bits: n of them match falsely at a chance of about n^2 / 2^65.
 
 Contract: whole texts (null: no words). A word goes if a window of `width` words of its document covers it whose words also
 start in a document with a smaller id. Rows of one id don't remove each other; a null id counts as the largest. One row per
@@ -11,17 +13,20 @@ input row; other columns aren't read. An empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import word_spans
-from .repeats import BLOCK_BYTES, NO_ID, raw, remove_repeats, word_symbols
+from .hashing import U64, Rolling, mix, release, word_spans
+from .repeats import BLOCK_BYTES, NO_ID, bucket_of, chunks, dealt, distinct, merged, ordered, planes, raw, unplanes, within, word_symbols
 
 WIDTH = 50
-GRAM = 8
+#: From a block to a bucket: distinct hashes of windows in rising order, and for each the least document of the block. Back: places in there.
+ASKED = "dest int, block int, prints array<long>, docs binary"
+TOLD = "block int, bucket int, places binary"
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, starts array<long>, ends array<long>, text_sha256 string"
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -62,11 +67,88 @@ def _finish(digest: bool):
     return run
 
 
-def remove_repeated_words(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", digest: bool = False, with_digest: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+class Windows:
+    """All windows of a block: row of the text, place, and the distinct hashes with the first window of each."""
+
+    def __init__(self, table: pa.Table, width: int):
+        self.ids, self.texts = ordered(table)
+        rows, at, prints = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+        for x, pieces in chunks(self.texts, word_symbols, width):
+            where, counts = within(pieces), pieces[:, 3]
+            value = Rolling(x, width).at(width)[where]
+            rows.append(np.repeat(pieces[:, 0].astype(np.int32), counts))
+            at.append(where + np.repeat(pieces[:, 1] - pieces[:, 2], counts))
+            prints.append(mix(value, value))
+        self.row, self.at, prints = (np.concatenate(x) for x in (rows, at, prints))
+        self.first, self.number = distinct(prints)
+        self.prints = prints[self.first]
+
+    def edges(self, buckets: int) -> np.ndarray:
+        """Where each bucket's hashes begin: these rise, and so do their buckets."""
+        return np.searchsorted(bucket_of(self.prints, buckets), np.arange(buckets + 1))
+
+
+def ask(width: int, buckets: int) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        w = Windows(table, width)
+        docs, edge = w.ids[w.row[w.first]], w.edges(buckets)
+        to = np.flatnonzero(np.diff(edge)).astype(np.int32)
+        prints = pa.ListArray.from_arrays(pa.array(np.append(edge[to], len(w.prints)).astype(np.int32)), pa.array(w.prints.view(np.int64)))
+        bodies = [planes(docs[edge[k] : edge[k + 1]]) for k in to]
+        out = pa.table([pa.array(to), pa.array(np.full(len(to), table["block"][0].as_py(), np.int32)), prints, pa.array(bodies, pa.binary())], names=["dest", "block", "prints", "docs"])
+        del w
+        release()
+        return out
+
+    return run
+
+
+def tell(key: tuple, asked: pa.Table, repeated: pa.Table) -> pa.Table:
+    """Which windows of each block an earlier document has, of those that stand in several blocks."""
+    hot, blocks, found = np.sort(repeated["print"].to_numpy().view(U64)), asked["block"].to_pylist(), []
+    for prints, body in zip(asked["prints"].combine_chunks(), asked["docs"], strict=True):
+        x, docs = prints.values.to_numpy().view(U64), unplanes(body.as_buffer(), len(prints))
+        at = np.minimum(np.searchsorted(hot, x), max(0, len(hot) - 1))
+        place = np.flatnonzero(hot[at] == x) if len(hot) else np.zeros(0, np.int64)
+        found.append((at[place], docs[place], place))
+    least = np.full(len(hot), NO_ID)
+    for which, docs, _ in found:
+        np.minimum.at(least, which, docs)
+    rows = [(block, key[0].as_py(), place[docs > least[which]].astype("<u4").tobytes()) for block, (which, docs, place) in zip(blocks, found, strict=True)]
+    columns = list(zip(*(r for r in rows if r[2]), strict=True)) or [[]] * 3
+    release()
+    return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["block", "bucket", "places"])
+
+
+def settle(width: int, buckets: int, finish: Callable) -> Callable:
+    def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+        w = Windows(table, width)
+        edge, gone = w.edges(buckets), np.zeros(len(w.first), bool)
+        for bucket, places in zip(told["bucket"].to_pylist(), told["places"], strict=True):
+            gone[edge[bucket] + np.frombuffer(places.as_buffer(), "<u4")] = True
+        doc = w.ids[w.row]
+        hit = np.flatnonzero(gone[w.number] | (doc > doc[w.first][w.number]))
+        row, start, end = merged(w.row[hit], w.at[hit], np.full(len(hit), width))
+        edge, ids, texts = np.searchsorted(row, np.arange(len(w.ids) + 1)), w.ids, w.texts
+        del w, doc, hit, gone
+        out = finish(ids, texts, lambda i: (start[edge[i] : edge[i + 1]], end[edge[i] : edge[i + 1]]))
+        release()
+        return out
+
+    return run
+
+
+def remove_repeated_words(docs: DataFrame, *, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", digest: bool = False, with_digest: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, and the trimmed text with the removed intervals of words (with_digest: and the digest of the whole text), or the kept words' digest."""
-    if not 1 <= gram <= width:
-        raise ValueError("gram must be from 1 to width")
-    out = remove_repeats(docs, _finish(digest), DIGEST if digest else SCHEMA, symbols=word_symbols, width=width, gram=gram, doc_id=doc_id, text=text, block_bytes=block_bytes)
+    if width < 1:
+        raise ValueError("width must be 1 at least")
+    blocks, n = dealt(docs, doc_id, text, block_bytes)
+    by_block = blocks.groupBy("block")
+    asked = by_block.applyInArrow(ask(width, n), ASKED).repartition("dest")
+    # both uses stay where the hashes were dealt to, so they are shuffled once
+    repeated = asked.select("dest", F.explode("prints").alias("print")).groupBy("dest", "print").agg(F.count("*").alias("blocks")).where("blocks > 1").select("dest", "print")
+    told = asked.groupBy("dest").cogroup(repeated.groupBy("dest")).applyInArrow(tell, TOLD)
+    out = by_block.cogroup(told.groupBy("block")).applyInArrow(settle(width, n, _finish(digest)), DIGEST if digest else SCHEMA)
     out = out if digest or with_digest else out.drop("text_sha256")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 

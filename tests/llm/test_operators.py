@@ -97,14 +97,14 @@ def test_suffix_order(seed):
     assert suffix_dedup.suffix_order(parts, window=3, modulus=5).tolist() == sorted(range(len(joined)), key=lambda i: joined[i:])
 
 
-@pytest.mark.parametrize("width,gram", [(50, 8), (6, 2)])
-def test_substring_dedup(docs, width, gram):
+@pytest.mark.parametrize("width", [50, 6])
+def test_substring_dedup(docs, width):
     rows = [(i, WORD.findall(s)) for i, s in plain(docs)]
     want = []
     for (i, w), gone in zip(rows, covered(rows, width), strict=True):
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want.append((i if i < 2**63 - 1 else None, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
-    got = [tuple(r) for r in substring_dedup.remove_repeated_words(docs, width=width, gram=gram, digest=True, block_bytes=4000).collect()]
+    got = [tuple(r) for r in substring_dedup.remove_repeated_words(docs, width=width, digest=True, block_bytes=4000).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
@@ -115,6 +115,30 @@ def test_trimmed_keeps_columns(docs):
     assert out.where("n_chars <> 5 and n_chars <> length(text)").isEmpty()
 
 
+def test_trimmed_cuts_each_text_by_itself(spark):
+    """Two texts under one id, and rows without an id, beside a document that has their passage first."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    tails = [" ".join(f"t{rng.randint(0, 10**6)}" for _ in range(12)) for _ in range(4)]
+    rows = [(1, passage, 0), (5, f"{passage} {tails[0]}", 0), (5, f"{tails[1]} {passage}", 0), (5, tails[2], 7), (None, f"{passage} {tails[3]}", 0), (None, None, None)]
+    got = [tuple(r) for r in substring_dedup.trimmed(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()]
+    want = [rows[0], (5, tails[0], len(tails[0])), (5, tails[1] + " ", len(tails[1]) + 1), rows[3], (None, tails[3], len(tails[3])), rows[5]]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_substring_dedup_hot_window_and_long_text(spark):
+    """One passage in every document, and a text of 30,000 words that holds another document twice."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    hot, other = words(50), words(70)
+    long = words(15_000) + other + words(15_000) + other
+    rows = [(i, words(5) + hot + words(5)) for i in range(300)] + [(300, other), (301, long)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r for r in substring_dedup.remove_repeated_words(df, block_bytes=20_000).collect()}
+    assert [got[i].n_removed for i in range(302)] == [0] + [50] * 299 + [0, 140]
+    assert got[301].starts == [15_000, 30_070] and got[7].starts == [5]
+
+
 def test_word_hashes_do_not_depend_on_place():
     data = np.frombuffer("abc  été abc\tété".encode(), np.uint8)
     s, e = hashing.word_spans(data)
