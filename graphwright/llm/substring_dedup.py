@@ -145,8 +145,9 @@ def remove_repeated_words(docs: DataFrame, *, width: int = WIDTH, doc_id: str =
     blocks, n = dealt(docs, doc_id, text, block_bytes)
     by_block = blocks.groupBy("block")
     asked = by_block.applyInArrow(ask(width, n), ASKED).repartition("dest")
-    # both uses stay where the hashes were dealt to, so they are shuffled once
-    repeated = asked.select("dest", F.explode("prints").alias("print")).groupBy("dest", "print").agg(F.count("*").alias("blocks")).where("blocks > 1").select("dest", "print")
+    # both uses name all columns and stay where the hashes were dealt to, so that these are shuffled once
+    there = F.when((F.col("block") >= 0) & (F.octet_length("docs") > 0), F.col("prints"))
+    repeated = asked.select("dest", F.explode(there).alias("print")).groupBy("dest", "print").agg(F.count("*").alias("blocks")).where("blocks > 1").select("dest", "print")
     told = asked.groupBy("dest").cogroup(repeated.groupBy("dest")).applyInArrow(tell, TOLD)
     out = by_block.cogroup(told.groupBy("block")).applyInArrow(settle(width, n, _finish(digest)), DIGEST if digest else SCHEMA)
     out = out if digest or with_digest else out.drop("text_sha256")
