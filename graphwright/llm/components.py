@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -48,14 +47,6 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a compressed table in the shared folder, for wide rows that are read more than once."""
-    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    with tidy(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) of a partition to (node, least node that these edges reach); nodes that are the least themselves are left out."""
     held, size = [], 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, settled, written
+from .components import components, settled
 from .hashing import U64, Rolling, mix
 from .repeats import raw, word_symbols
 
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sizes = settled(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     ends = settled(banded.select("band", "id").join(sizes.hint("shuffle_merge"), "band").select("id").distinct())
     # rows of one id count with each of their texts
-    sharers = written(texts.select(F.col("doc_id").alias("id"), "text").join(ends, "id", "left_semi").dropDuplicates(["id", "text"]))
+    sharers = settled(texts.select(F.col("doc_id").alias("id"), "text").join(ends, "id", "left_semi").dropDuplicates(["id", "text"]))
     edges = candidates(banded, sizes, similarity - SLACK, part)
     pairs = edges.join(sharers.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(sharers.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     links = settled(pairs.select("a", "b", "x", "y").mapInArrow(verified(shingle, similarity), "a long, b long"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import written
+from .components import settled
 from .native import BLANK, join_small, let, whole, words_of
 
 # Common words by language.
@@ -112,7 +112,7 @@ def verdicts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
     """The table (slim: its ids only) with the base columns, class_distance, word_distance, base_failed and kept beside its own (internal ones start with __)."""
     source = docs.select(*(F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(docs.columns)))
     names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
-    # texts are counted once: histograms and base columns are written, as references need all of them first
+    # texts are counted once: histograms and base columns are kept, as references need all of them first
     counts = measured(source, names[text], names[lang]).withColumn("__words", words_of(F.col("__text"))).withColumn("n_words", F.size("__words").cast("long"))
     lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     counts = counts.withColumn(f"w_{BINS}", F.col("n_words") - F.size("__common")).select(
@@ -120,7 +120,7 @@ def verdicts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("__words")).alias("n_repeat_words"),
     )
-    counts = written(counts)
+    counts = settled(counts)
     df = join_small(counts, references(counts), ["__lang"], F.col(names[doc_id]))
     known = F.coalesce(F.col("r_words"), F.lit(0)) >= min_reference
     chars = distance([F.col(f"c_{c}") for c in CLASSES], [F.col(f"rc_{c}") for c in CLASSES])
