@@ -265,7 +265,8 @@ def ablation_scan(graph: Graph, seed: DataFrame, *, kind: str = "edges", max_edg
         return dict(zip(("i", "j", "l1_delta", "l2_delta", "linf_delta"), zip(*out, strict=True), strict=True))
 
     found = fan(graph, seed, _scenarios(graph, kind, max_edges), kernel, "i int, j int, l1_delta double, l2_delta double, linf_delta double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("l2_delta"), "i", "j")))
+    # sizes that differ by rounding alone are ties
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc(F.round("l2_delta", 12)), "i", "j")))
 
 
 def edge_sensitivity(graph: Graph, seed: DataFrame, target: DataFrame, *, steps: int = 60, dt: float = 0.1) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import scalars, transfers
 from ..operators import dynamics, flow, matrices, montecarlo, prepare, signals, spectral, stats, traversal, whatif
 from ..streaming import transitions
 from . import fixtures as fx
+from . import oracles
 
 DIGITS = 6
 Query = Callable[[SparkSession, str], DataFrame]
@@ -660,6 +661,9 @@ def transition_windows(spark, sf):
     return w.select(F.col("window.start").alias("day"), "previous", "event_type", "weight")
 
 
+SQL |= oracles.of(NATION, YEARS, EMBED, rd)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
