@@ -4,7 +4,7 @@ A text is split by the tokenizer's pattern. A pre-token that stands in the vocab
 hash over the vocabulary's byte strings (hash and displace: a bucket's displacement sends each of its keys to a slot of its own;
 buckets of one key hold the slot itself), checked by its bytes. Any other is cut into bytes linked as a list; a heap
 holds the ranks of linked pairs, and the least (leftmost on ties) is merged until none is in the vocabulary. Results of either
-tier are memoised per Python worker, a bounded number (2 * MEMO). Decoding joins the ids' bytes.
+tier are memoised per task, a bounded number (2 * MEMO). Decoding joins the ids' bytes.
 
 The vocabulary file's path is a parameter; the file is shipped with the job only as this path, so it has to be installed on
 every executor. Contract: whole texts; null is the empty text; no special tokens; other columns pass through; rows are
@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import release
+
 MEMO = 1 << 18
 #: Whole pre-tokens over this length are looked up and merged like others, but not memoised.
 MEMO_LENGTH = 48
@@ -114,6 +116,11 @@ class Codec:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drops what was memoised: an idle worker holds the vocabulary alone."""
+        self.memo, self.older = {}, {}
+        release()
+
     def merge(self, token: bytes) -> list[int]:
         """Ids of a pre-token by merging, least rank first."""
         n, bits = len(token), self.bits
@@ -205,6 +212,8 @@ def mapped(docs: DataFrame, text: str, make: Callable, extra: list[pa.Field], sc
                     yield out(low, i + 1, rows)
                     rows, low, held = [], i + 1, 0
             yield out(low, batch.num_rows, rows)
+        for c in _codecs.values():
+            c.forget()
 
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")).mapInArrow(run, schema)
 
