@@ -24,6 +24,8 @@ from .hashing import U64, Rolling, mix, release, word_spans
 from .repeats import BLOCK_BYTES, NO_ID, bucket_of, chunks, dealt, distinct, merged, ordered, planes, raw, unplanes, within, word_symbols
 
 WIDTH = 50
+#: Tasks that buckets are dealt to at most, where the session asks for no more.
+MAX_TASKS = 20_000
 #: From a block to a bucket: distinct hashes of windows in rising order, and for each the least document of the block. Back: places in there.
 ASKED = "dest int, block int, prints array<long>, docs binary"
 TOLD = "block int, bucket int, places binary"
@@ -144,7 +146,9 @@ def remove_repeated_words(docs: DataFrame, *, width: int = WIDTH, doc_id: str =
         raise ValueError("width must be 1 at least")
     blocks, n = dealt(docs, doc_id, text, block_bytes)
     by_block = blocks.groupBy("block")
-    asked = by_block.applyInArrow(ask(width, n), ASKED).repartition("dest")
+    # about one bucket a task, so that the table of counts that a task holds is small
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n, MAX_TASKS))
+    asked = by_block.applyInArrow(ask(width, n), ASKED).repartition(tasks, "dest")
     # both uses name all columns and stay where the hashes were dealt to, so that these are shuffled once
     there = F.when((F.col("block") >= 0) & (F.octet_length("docs") > 0), F.col("prints"))
     repeated = asked.select("dest", F.explode(there).alias("print")).groupBy("dest", "print").agg(F.count("*").alias("blocks")).where("blocks > 1").select("dest", "print")
