@@ -112,16 +112,18 @@ def verdicts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
     """The table (slim: its ids only) with the base columns, class_distance, word_distance, base_failed and kept beside its own (internal ones start with __)."""
     source = docs.select(*(F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(docs.columns)))
     names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
-    # texts are counted once: histograms and base columns are kept, as references need all of them first
     counts = measured(source, names[text], names[lang]).withColumn("__words", words_of(F.col("__text"))).withColumn("n_words", F.size("__words").cast("long"))
+    counts = counts.withColumn(f"w_{BINS}", F.col("n_words") - F.size("__common"))
     lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    counts = counts.withColumn(f"w_{BINS}", F.col("n_words") - F.size("__common")).select(
+    rows = counts.select(
         *([names[doc_id]] if slim else names.values()), "__lang", "__chars", "n_words", *(f"c_{c}" for c in CLASSES), *(f"w_{k}" for k in range(BINS + 1)),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("__words")).alias("n_repeat_words"),
     )
-    counts = settled(counts)
-    df = join_small(counts, references(counts), ["__lang"], F.col(names[doc_id]))
+    # references need all rows first: rows without their texts are kept for that, those with texts are counted again, as a copy of all texts costs more than that
+    if slim:
+        rows = counts = settled(rows)
+    df = join_small(rows, references(counts), ["__lang"], F.col(names[doc_id]))
     known = F.coalesce(F.col("r_words"), F.lit(0)) >= min_reference
     chars = distance([F.col(f"c_{c}") for c in CLASSES], [F.col(f"rc_{c}") for c in CLASSES])
     common = distance([F.col(f"w_{k}") for k in range(BINS + 1)], [F.col(f"rw_{k}") for k in range(BINS + 1)])
