@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph, GraphError
+from ..graph import Graph, GraphError, settled
 
 EPS = 1e-12
 
@@ -87,11 +87,13 @@ def triangle_support(graph: Graph) -> DataFrame:
     Each edge is kept once, from the end of lower degree (ties by id), so that a hub's wedges are made at its neighbours: a triangle comes from exactly one
     wedge, of out-edges whose number is at most sqrt(2 m) for any node.
     """
-    e = graph.edges.where("src < dst and weight > 0").select("graph_id", "src", "dst", "weight")
-    d = graph.edges.where("weight > 0 and src <> dst").groupBy("graph_id", "src").agg(F.count("*").alias("k"))
-    ranked = e.join(d.withColumnRenamed("k", "ks"), ["graph_id", "src"]).join(d.select("graph_id", F.col("src").alias("dst"), F.col("k").alias("kd")), ["graph_id", "dst"])
-    forward = F.struct("ks", "src") < F.struct("kd", "dst")
-    out = ranked.select("graph_id", F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("b"), F.when(forward, F.struct("kd", "dst")).otherwise(F.struct(F.col("ks").alias("kd"), F.col("src").alias("dst"))).alias("r"))
+    # the edges come from a plan of their own, so they are settled before their four uses
+    e = settled(graph.edges.where("src < dst and weight > 0").select("graph_id", "src", "dst", "weight"))
+    d = e.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).groupBy("graph_id", "node").agg(F.count("*").alias("k"))
+    rank = lambda end: d.select("graph_id", F.col("node").alias(end), F.struct("k", F.col("node").alias("v")).alias(f"of_{end}"))
+    ranked = e.join(rank("src"), ["graph_id", "src"]).join(rank("dst"), ["graph_id", "dst"])
+    low, high = F.least("of_src", "of_dst"), F.greatest("of_src", "of_dst")
+    out = settled(ranked.select("graph_id", low["v"].alias("a"), high["v"].alias("b"), high.alias("r")))
     wedges = out.alias("p").join(out.alias("q"), (F.col("p.graph_id") == F.col("q.graph_id")) & (F.col("p.a") == F.col("q.a")) & (F.col("p.r") < F.col("q.r")))
     wedges = wedges.select(F.col("p.graph_id").alias("graph_id"), F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("q.b").alias("c"))
     closed = wedges.join(out.select("graph_id", F.col("a").alias("b"), F.col("b").alias("c")), ["graph_id", "b", "c"], "left_semi")

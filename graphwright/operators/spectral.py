@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,11 +188,23 @@ def diffusion_distance(spectrum: DataFrame, time: float) -> DataFrame:
 
 
 def effective_resistance(graph: Graph, spectrum: DataFrame, tolerance: float = 1e-10) -> DataFrame:
-    """(graph_id, i, j, value) for i < j from the unnormalised spectrum; infinite across components."""
-    got = _pairs(spectrum.where(F.col("eigenvalue") > tolerance), lambda d: d / F.col("eigenvalue"), "i < j")
-    c = components(graph)
-    ends = c.select("graph_id", F.col("node").alias("i"), F.col("component").alias("ci")).join(c.select("graph_id", F.col("node").alias("j"), F.col("component").alias("cj")), "graph_id").where("i < j")
-    return ends.join(got, ["graph_id", "i", "j"], "left").select("graph_id", "i", "j", F.when(F.col("ci") == F.col("cj"), F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0))).otherwise(float("inf")).alias("value"))
+    """(graph_id, i, j, value) for i < j from the unnormalised spectrum; infinite across components.
+
+    A graph's modes are multiplied in one task (they came from one); node pairs of different components share no mode but those of eigenvalue 0.
+    """
+    rows = spectrum.select("graph_id", "mode", "eigenvalue", "node", "v")
+
+    def kernel(key: tuple, table: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        v = table.pivot(index="node", columns="mode", values="v").sort_index()
+        lam = table.groupby("mode")["eigenvalue"].first().to_numpy()
+        parts = nodes.set_index("node").loc[v.index, "component"].to_numpy()
+        x = v.to_numpy()[:, lam > tolerance] / np.sqrt(lam[lam > tolerance])
+        own = (x * x).sum(1)
+        i, j = np.triu_indices(len(x), 1)
+        value = np.where(parts[i] == parts[j], np.maximum((own[:, None] + own - 2 * x @ x.T)[i, j], 0), np.inf)
+        return pd.DataFrame({"graph_id": key[0], "i": v.index.to_numpy()[i], "j": v.index.to_numpy()[j], "value": value})
+
+    return rows.groupBy("graph_id").cogroup(components(graph).groupBy("graph_id")).applyInPandas(kernel, "graph_id string, i int, j int, value double")
 
 
 def commute_times(graph: Graph, resistance: DataFrame) -> DataFrame:
