@@ -7,6 +7,7 @@ Kernels that need a dense matrix run one graph per task and refuse graphs of ove
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -140,9 +141,18 @@ def per_graph_and_signal(graph: Graph, signals: DataFrame, kernel: Callable, sch
     return rows.groupBy("graph_id").applyInPandas(run, f"graph_id string, {schema}")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names, or in a temporary one where it names none (local runs)."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; where it names none, one machine gets a folder of its own and a cluster is refused."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise GraphError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

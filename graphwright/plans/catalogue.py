@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars, transfers
 from ..operators import dynamics, flow, matrices, montecarlo, prepare, signals, spectral, stats, traversal, whatif
 from ..streaming import transitions
+from . import extras, oracles
 from . import fixtures as fx
-from . import oracles
 
 DIGITS = 6
 Query = Callable[[SparkSession, str], DataFrame]
@@ -662,6 +662,7 @@ def transition_windows(spark, sf):
 
 
 SQL |= oracles.of(NATION, YEARS, EMBED, rd)
+extras.register(query, out, rd, NATION, YEARS, SQL["diffusion"], oracles.CHEAPEST)
 
 
 def queries() -> dict[str, Query]:

@@ -43,6 +43,11 @@ UNION ALL SELECT hk.k + 1, hk.s, lap.i, sum(-lap.m * hk.x) / (hk.k + 1) FROM hk
 h AS (SELECT t, s, node, greatest(sum(x * pow(t, k)), 0) x FROM hk, (SELECT unnest([0.05, 0.1]) t) GROUP BY t, s, node)"""
 
 
+#: Mexican-hat wavelets z exp(-z) and the low-pass channel (scale 0) of the balances: wv(s, node, c).
+WAVELET = """lx AS (SELECT 0 k, node, x FROM x UNION ALL SELECT lx.k + 1, lap.i, sum(-lap.m * lx.x) / (lx.k + 1) FROM lx JOIN lap ON lap.j = lx.node WHERE lx.k < 70 GROUP BY lx.k + 1, lap.i),
+wv AS (SELECT s, node, sum(CASE WHEN s = 0 THEN x * pow(0.2, k) ELSE -k * x * pow(s, k) END) c FROM lx, (SELECT unnest([0.0, 0.05, 0.1, 0.2]) s) GROUP BY s, node)"""
+
+
 def scenarios(pairs: str) -> str:
     """dl(s, node, x): what diffusion of 8 steps ends with under each scenario's edges sc(s, i, j, w), less the graph's own end (s = -1 there)."""
     return f"""sc AS ({pairs} UNION ALL SELECT -1, i, j, w FROM e), ss AS (SELECT DISTINCT s FROM sc),
@@ -102,6 +107,9 @@ SELECT i::BIGINT AS i, j::BIGINT AS j, {rd('-w * g')} AS predicted, {rd('x')} AS
         "distance_profile": f"{nation}, {CHEAPEST} SELECT p0.node::BIGINT AS node, {rd('p0.c')} AS from_sources, {rd('p12.c')} AS to_targets, {rd('p0.c + p12.c')} AS corridor, {rd('p0.c + p12.c - min(p0.c + p12.c) OVER ()')} AS excess FROM p0 JOIN p12 USING (node)",
         "edge_cuts": f"""{nation}, {FLOW.replace('node IN (0, 2) THEN 0.5::DOUBLE', 'node = 0 THEN 1.0::DOUBLE')}, tr AS (SELECT a.i, b.j, count(*) n FROM e a JOIN e b ON a.j = b.i WHERE a.i < b.j GROUP BY ALL), sc AS (SELECT dr.i, dr.j, w, w * drop cur, coalesce(n, 0) n, w * drop / (1 + coalesce(n, 0)) s FROM dr LEFT JOIN tr USING (i, j) WHERE dr.i < dr.j)
 SELECT i::BIGINT AS i, j::BIGINT AS j, {rd('w')} AS weight, {rd('cur')} AS current, n::BIGINT AS support, {rd('s')} AS score, row_number() OVER (ORDER BY s DESC, i, j)::BIGINT AS rank FROM sc QUALIFY rank <= 10""",
+        "wavelet_report": f"""{nation}, {WAVELET}, q AS (SELECT s, sum(c * c) e, sum(abs(c)) l1, max(abs(c)) linf, sum(abs(c) * ln(abs(c))) vl, count(*) n FROM wv GROUP BY s)
+SELECT s::DOUBLE AS scale, {rd('e')} AS energy, {rd('l1')} AS l1, {rd('sqrt(e)')} AS l2, {rd('linf')} AS linf, {rd('(ln(l1) - vl / l1) / ln(n)')} AS entropy, {rd('e / sum(e) OVER ()')} AS share FROM q""",
+        "dominant_scale": f"{nation}, {WAVELET} SELECT node::BIGINT AS node, s::DOUBLE AS scale FROM wv QUALIFY row_number() OVER (PARTITION BY node ORDER BY abs(c) DESC, s) = 1",
         "fragility": f"""{years}, b AS (SELECT node, row_number() OVER (ORDER BY x DESC, node) r0 FROM x), bo AS (SELECT node, avg((n - r) / (n - 1)) s FROM rk GROUP BY node), bk AS (SELECT node, row_number() OVER (ORDER BY s DESC, node) rb FROM bo),
 q AS (SELECT (SELECT count(*) FROM b JOIN bk USING (node) WHERE r0 <= 10 AND rb <= 10) / 10 AS o, (SELECT avg(m) FROM (SELECT avg(abs(r - r0)) m FROM rk JOIN b USING (node) GROUP BY node)) AS sh, (SELECT avg(least(c, 2.0)) FROM (SELECT stddev_pop(x) / (abs(avg(x)) + 1e-12) c FROM s GROUP BY node)) AS cv, (SELECT avg(c) FROM (SELECT corr(r, r0) c FROM rk JOIN b USING (node) GROUP BY trial)) AS rho, (SELECT count(*) FROM v) AS n),
 f AS (SELECT *, least(greatest(0.35 * (1 - o) + 0.25 * least(1.0, sh / greatest(1.0, n / 2)) + 0.2 * cv / 2 + 0.2 * (1 - rho) / 2, 0), 1) f FROM q)
