@@ -193,13 +193,14 @@ BATCH_IDS = 1 << 24
 
 
 def mapped(docs: DataFrame, text: str, make: Callable, extra: list[pa.Field], schema: str, keep: list[str]) -> DataFrame:
-    """make(text) gives the values of the extra columns. The text travels last, so that no column's name matters."""
+    """make(text) gives the values of the extra columns. Columns travel by place, the text last, so that no column's name matters."""
+    names = [*keep, *(f.name for f in extra)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, names = batch.columns[-1], [*batch.schema.names[:-1], *(f.name for f in extra)]
+            texts = batch.columns[-1]
 
-            def out(low: int, high: int, rows: list[tuple], columns: list = batch.columns[:-1], names: list[str] = names) -> pa.RecordBatch:
+            def out(low: int, high: int, rows: list[tuple], columns: list = batch.columns[:-1]) -> pa.RecordBatch:
                 values = zip(*rows, strict=True) if rows else [[]] * len(extra)
                 return pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in columns), *(pa.array(v, f.type) for v, f in zip(values, extra, strict=True))], names=names)
 
@@ -215,11 +216,13 @@ def mapped(docs: DataFrame, text: str, make: Callable, extra: list[pa.Field], sc
         for c in _codecs.values():
             c.forget()
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    sent = [F.col(f"`{c}`") for c in keep] + [F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))]
+    return docs.select(*(c.alias(f"__in_{i}") for i, c in enumerate(sent))).mapInArrow(run, schema)
 
 
 def _ddl(docs: DataFrame, keep: list[str]) -> list[str]:
-    return [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return [f"`{c}` {kinds[c]}" for c in keep]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

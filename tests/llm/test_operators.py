@@ -168,6 +168,13 @@ def test_embedding_dedup(spark, cell):
         assert (got[100 + i].n_links, got[100 + i].component_id) == (0, 100 + i)
 
 
+def test_embedding_dedup_extreme_norms_and_repeated_ids(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1.0, 1.0]), (3, [1e200, 1e200]), (4, [1e200, 1.0000001e200]), (5, [3.0, 6.0]), (6, [-1.0, 1.0]), (6, [0.0, 1.0]), (7, [5.0, -5.0]), (7, [5.0, -5.0])]
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    # (1, 2) is 0.9487 against (1, 1) and 0.894 against (0, 1)
+    assert got == [(1, 1, 1, True), (2, 2, 2, True), (3, 2, 2, False), (4, 2, 2, False), (5, 1, 1, False), (6, 0, 6, True), (6, 0, 6, True), (7, 1, 7, True), (7, 1, 7, True)]
+
+
 def test_embedding_dedup_hot_group(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=32) + rng.normal(size=(300, 32)) * 0.02
@@ -198,6 +205,45 @@ def test_quality_rules(docs):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_quality_distances_are_recomputed(docs):
+    """Both histograms, references by language (null is one of its own) and Jensen-Shannon distances, in plain Python."""
+    rows = docs.collect()
+
+    def classes(t):
+        kinds = Counter("upper" if re.match(r"[A-Z\u00C0-\u00DE]", c) else "digit" if c in "0123456789" else "mark" if c in ".,;:!?'\"()-" else "symbol" if c in "#*$%&|<>" else "blank" if c in " \t\n\x0b\x0c\r" else "rest" for c in t)
+        return [kinds[k] for k in quality_rules.CLASSES]
+
+    def common(t, lang):
+        listed = quality_rules.COMMON.get(lang, quality_rules.OTHERS).split()
+        words = [w.decode().lower() for w in WORD.findall(t.encode())]
+        return [words.count(w) for w in listed] + [0] * (quality_rules.BINS - len(listed)) + [sum(w not in listed for w in words)]
+
+    def distance(p, q):
+        if not sum(p) or not sum(q):
+            return 0.0
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        half = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x)
+        return math.sqrt(max(0.0, half(p, q) / 2 + half(q, p) / 2))
+
+    sums: dict = {}
+    for r in rows:
+        t = r.text or ""
+        a, b = sums.setdefault(r.lang, ([0] * 6, [0] * (quality_rules.BINS + 1)))
+        sums[r.lang] = ([x + y for x, y in zip(a, classes(t), strict=True)], [x + y for x, y in zip(b, common(t, r.lang), strict=True)])
+    want = []
+    for r in rows:
+        t = r.text or ""
+        n, (a, b) = len(WORD.findall(t.encode())), sums[r.lang]
+        known = sum(b) >= quality_rules.MIN_REFERENCE
+        want.append((r.doc_id, round(distance(classes(t), a), 9) if known and len(t) >= quality_rules.MIN_CHARS else 0.0, round(distance(common(t, r.lang), b), 9) if known and n >= quality_rules.MIN_WORDS else 0.0))
+    got = quality_rules.judged(docs).collect()
+    assert sorted(((r.doc_id, round(r.class_distance, 9), round(r.word_distance, 9)) for r in got), key=repr) == sorted(want, key=repr)
+    assert any(x[1] > 0 for x in want) and any(x[2] > 0 for x in want) and len(sums) == 4
+    kept = Counter(r.doc_id for r in got if r.kept)
+    assert all(r.kept == (not r.base_failed and r.class_distance <= quality_rules.MAX_CLASS_DISTANCE and r.word_distance <= quality_rules.MAX_WORD_DISTANCE) for r in got)
+    assert Counter(r.doc_id for r in quality_rules.keep(docs).collect()) == kept
+
+
 def test_quality_divergence(spark):
     rng = random.Random(0)
     common = quality_rules.COMMON["en"].split()
@@ -258,6 +304,47 @@ def test_minhash_dedup_star(spark, part):
     assert {r.cluster_id for r in got} == {0} and len(got) == 401
 
 
+def test_minhash_dedup_chain_and_loose_group(spark):
+    """A chain whose ends are far apart is one cluster, whatever the parts; texts that are near but under the similarity stay alone."""
+    rng = random.Random(4)
+    words = [f"c{i}" for i in range(300)]
+    chain = [list(words)]
+    for k in range(60):
+        w = list(chain[-1])
+        for p in rng.sample(range(10, 290), 2):
+            w[p] = f"k{k}x{p}"
+        chain.append(w)
+    loose = edited_copies(80, seed=6, size=200, edits=12)[1:]
+    sets = [weighted(t) for t in loose]
+    assert max(jaccard(sets[i], sets[j]) for i in range(80) for j in range(i)) < 0.8
+    ids = list(range(141))
+    rng.shuffle(ids)
+    rows = list(zip(ids, [" ".join(w) for w in chain] + loose, strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for part in (16, 512):
+        got = {r.doc_id: r.cluster_id for r in minhash_dedup.near_duplicates(df, part=part).collect()}
+        assert {got[i] for i in ids[:61]} == {min(ids[:61])} and all(got[i] == i for i in ids[61:])
+
+
+def test_components_of_random_edges(spark):
+    rng = random.Random(2)
+    for n, m in ((50, 30), (400, 380), (400, 2000)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(0, k) for k in range(0, n, 7)]
+        root = list(range(n))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in edges:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        touched = {v for a, b in edges if a != b for v in (a, b)}
+        got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+        assert sorted((r.id, r.component) for r in got) == sorted((v, find(v)) for v in touched)
+
+
 def test_probability_jaccard_and_estimate():
     rng = np.random.default_rng(0)
     a, b = Counter(rng.integers(0, 60, 200).tolist()), Counter(rng.integers(0, 60, 150).tolist())
@@ -294,6 +381,15 @@ def test_bpe_characters(reference):
         c.decode(np.array([60000], np.uint32).tobytes())
 
 
+def test_bpe_clashing_names_and_small_batches(spark, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_IDS", 5)  # batches are cut after a few ids on the driver's side of the closure as well
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(i, f"word {i} " * i, f"t{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, `a text` string, __text string")
+    got = bpe.encode(df, path, public_tokenizers.PATTERN, text="a text").collect()
+    assert sorted((r.doc_id, r["__text"], r.ids) for r in got) == [(i, x, reference.encode_ordinary(t)) for i, t, x in rows]
+
+
 def test_perfect_hash():
     keys = [f"k{i}".encode() for i in range(500)]
     h = bpe.PerfectHash(keys)
@@ -449,6 +545,12 @@ def test_url_filter(spark):
         assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
 
 
+def test_url_filter_null_and_repeated_ids(spark):
+    rows = [(None, "http://example.com/en/1"), (3, "http://example.com/en/1"), (3, None), (3, "http://b.net/x"), (None, None)]
+    got = sorted(((r.page_id, r.host, r.path, r.rule) for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string"), trees=2).collect()), key=repr)
+    assert got == sorted([(None, "example.com", "/en/1", "com/en/"), (3, "example.com", "/en/1", "com/en/"), (3, "", "", None), (3, "b.net", "/x", None), (None, "", "", None)], key=repr)
+
+
 def test_url_trees_learn(spark):
     rows = [(i, f"http://{'a' * (3 + i % 5)}.{'com' if i % 2 else 'net'}/{'en/' if i % 2 else 'de/'}{i}?{'p=1&' * (i % 2 * 4)}") for i in range(200)]
     rows += [(1000 + i, f"http://aaa.{'com' if i % 2 else 'net'}/fr/{i}?{'p=1&' * (i % 2 * 4)}") for i in range(20)]
