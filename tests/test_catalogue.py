@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["edges_nation", "diffusion", "laplacian_normalized", "similarity_spearman", "threshold_top", "kendall", "sweep_cut", "transition_windows"]
+SOME = ["edges_nation", "diffusion", "laplacian_normalized", "similarity_spearman", "threshold_top", "kendall", "sweep_cut", "transition_windows", "current_flow", "effective_resistance", "edge_ablation", "wavelet_report", "csv_round_trip", "still_perturbations", "single_paths"]
 
 
 def test_names():

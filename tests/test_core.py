@@ -300,3 +300,12 @@ def test_ablation_scan_kinds(spark, g):
         whatif.ablation_scan(g, seed, kind="chains")
     all_edges = catalogue.queries()["edge_ablation"](spark, "/root/testdata/sf0.001")
     assert all_edges.count() > 12 and catalogue.queries()["mutation_scan"](spark, "/root/testdata/sf0.001").select("factor").distinct().count() == 3
+
+
+def test_discordance_against_all_pairs():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 5, 64, 101):
+        for top in (3, 10**6):
+            a, b = rng.integers(0, top, n).astype(float), rng.integers(0, top, n).astype(float)
+            sign = (np.sign(a[:, None] - a) * np.sign(b[:, None] - b))[np.triu_indices(n, 1)]
+            assert stats.discordance(a, b) == (sign.sum(), np.abs(sign).sum())
