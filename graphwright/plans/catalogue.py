@@ -607,17 +607,10 @@ for _n, _c, _f in (
     query(f"{NATION}, c AS ({_f}) SELECT i::BIGINT AS src, j::BIGINT AS dst, {rd('w')} AS weight FROM c", _n)(_changed(_c))
 
 
-_ABLATE = f"""{NATION}, t AS (SELECT -1 a, -1 b UNION ALL SELECT * FROM (SELECT i, j FROM u ORDER BY w DESC, i, j LIMIT 12)),
-et AS (SELECT a, b, i, j, w FROM t CROSS JOIN e WHERE NOT (least(i, j) = a AND greatest(i, j) = b)),
-mt AS (SELECT a, b, p.node i, q.node j, CASE WHEN p.node = q.node THEN 1 - 0.02 * coalesce((SELECT sum(w) FROM et z WHERE z.a = t.a AND z.b = t.b AND z.i = p.node), 0) ELSE 0.02 * coalesce((SELECT w FROM et z WHERE z.a = t.a AND z.b = t.b AND z.i = p.node AND z.j = q.node), 0) END m FROM t CROSS JOIN v p CROSS JOIN v q),
-it AS (SELECT 0 k, a, b, node, {SEED} x FROM t CROSS JOIN v UNION ALL SELECT it.k + 1, it.a, it.b, mt.i, sum(mt.m * it.x) FROM it JOIN mt ON mt.a = it.a AND mt.b = it.b AND mt.j = it.node WHERE it.k < 8 GROUP BY it.k + 1, it.a, it.b, mt.i)
-SELECT f.a::BIGINT AS i, f.b::BIGINT AS j, {rd('sum(abs(f.x - g.x))')} AS l1_delta, {rd('sqrt(sum((f.x - g.x) * (f.x - g.x)))')} AS l2_delta FROM it f JOIN it g ON g.k = 8 AND g.a = -1 AND g.node = f.node WHERE f.k = 8 AND f.a >= 0 GROUP BY f.a, f.b"""
-
-
-@query(_ABLATE)
+@query()
 def ablation_scan(spark, sf):
     g = fx.nations(spark, sf)
-    return out(whatif.ablation_scan(g, dynamics.seeds(g), max_edges=12, steps=8, dt=0.02), "i", "j", "l1_delta", "l2_delta")
+    return out(whatif.ablation_scan(g, dynamics.seeds(g), steps=8, dt=0.02), "i", "j", "l1_delta", "l2_delta")
 
 
 _ADJOINT = f"""{NATION}, mm AS ({_HEAT}),
@@ -662,6 +655,7 @@ def transition_windows(spark, sf):
 
 
 SQL |= oracles.of(NATION, YEARS, EMBED, rd)
+SQL["ablation_scan"] = f"SELECT i, j, l1_delta, l2_delta FROM ({SQL['edge_ablation']})"
 extras.register(query, out, rd, NATION, YEARS, SQL["diffusion"], oracles.CHEAPEST)
 
 
