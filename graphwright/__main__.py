@@ -1,4 +1,4 @@
-"""Command line: forward, scan, inverse, mediation, spectral, pathway, script, experiment, example."""
+"""Command line: forward, scan, inverse, mediation, spectral, pathway, report, script, experiment, example, kinds."""
 
 from __future__ import annotations
 
@@ -31,6 +31,12 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
         c.add_argument("--sources", type=lambda s: [int(x) for x in s.split(",")], default=[0])
         c.add_argument("--targets", type=lambda s: [int(x) for x in s.split(",")], default=[30])
         c.add_argument("--out", default=f"{name}.csv")
+    r = sub.add_parser("report", help="all files of one kind of analysis of a graph")
+    r.add_argument("kind", choices=[k for k in experiments.task_kinds() if k != "script"])
+    r.add_argument("--csv", required=True)
+    r.add_argument("--out", default="runs")
+    r.add_argument("--params", type=json.loads, default={}, help="the task's parameters as JSON, such as seed_nodes, target_nodes, interventions")
+    sub.add_parser("kinds", help="the kinds of tasks that experiments may have")
     sub.add_parser("script").add_argument("path")
     e = sub.add_parser("experiment")
     e.add_argument("config")
@@ -44,13 +50,17 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "example":
         writers.write_json(a.path, experiments.EXAMPLE)
         return 0
+    if a.command == "kinds":
+        print("\n".join(experiments.task_kinds()))
+        return 0
     spark = SparkSession.builder.appName("graphwright").getOrCreate()
     if a.command == "script":
         with open(a.path) as f:
             run_script(spark, f.read(), out=print)
         return 0
-    if a.command == "experiment":
-        summary = experiments.run(spark, a.config, a.out)
+    if a.command in ("experiment", "report"):
+        config = a.config if a.command == "experiment" else {"name": a.kind, "graph": {"kind": "csv", "path": a.csv}, "tasks": [{"name": a.kind, "kind": a.kind, "params": a.params}]}
+        summary = experiments.run(spark, config, a.out)
         print(json.dumps(summary, indent=2, default=str))
         return int(summary["status"] != "success")
     g = readers.from_pdb(spark, a.pdb, cutoff=a.cutoff) if a.pdb else readers.from_csv(spark, a.csv) if a.csv else readers.synthetic(spark)

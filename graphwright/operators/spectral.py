@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import transfers
-from ..graph import Graph, GraphError, per_graph
+from ..graph import MAX_DENSE, Graph, GraphError, per_graph
 from .dynamics import chebyshev_apply, chebyshev_coefficients, heat_lanczos, per_signal
 from .matrices import canonical_kind, degrees
 from .signals import ONE, dirichlet, robust_zscored, total_variation
+from .sparse import EdgeLaplacian, lowest, per_graph_edges
 from .traversal import components
 
 ZERO = 1e-8
+#: Nodes up to which the first k modes come from a dense matrix.
+DENSE_UP_TO = 450
 
 
 def laplacian(a: np.ndarray, kind: str = "unnormalized", isolated_diagonal: float = 0.0) -> np.ndarray:
@@ -41,8 +44,13 @@ def eigen(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, vectors * np.where(top < 0, -1, 1)
 
 
-def decompose(graph: Graph, kind: str = "unnormalized", *, k: int | None = None, isolated_diagonal: float = 0.0) -> DataFrame:
-    """(graph_id, mode, eigenvalue, node, v): the first k modes, one row per node. A random-walk Laplacian is symmetrised first."""
+def decompose(graph: Graph, kind: str = "unnormalized", *, k: int | None = None, isolated_diagonal: float = 0.0, dense_up_to: int = DENSE_UP_TO) -> DataFrame:
+    """(graph_id, mode, eigenvalue, node, v): the first k modes, one row per node. A random-walk Laplacian is symmetrised first.
+
+    With k, graphs of over `dense_up_to` nodes get their lowest modes from the edge list, without a matrix and without a limit of nodes.
+    """
+    if k is not None:
+        return truncated(graph, kind, k, isolated_diagonal, dense_up_to)
 
     def kernel(a: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> dict:
         values, vectors = eigen(laplacian(a, kind, isolated_diagonal))
@@ -52,6 +60,21 @@ def decompose(graph: Graph, kind: str = "unnormalized", *, k: int | None = None,
     return per_graph(graph, kernel, "mode int, eigenvalue double, node int, v double")
 
 
+def truncated(graph: Graph, kind: str, k: int, isolated_diagonal: float, dense_up_to: int) -> DataFrame:
+    def kernel(ids: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> dict:
+        n = len(ids)
+        m = max(min(k, n), 0)
+        if n <= dense_up_to or (m >= n - 1 and n <= MAX_DENSE):
+            a = np.zeros((n, n))
+            np.add.at(a, (i, j), w)
+            values, vectors = eigen(laplacian(a, kind, isolated_diagonal))
+        else:
+            values, vectors = lowest(EdgeLaplacian(n, i, j, w, kind, isolated_diagonal), m)
+        return {"mode": np.repeat(np.arange(m), n), "eigenvalue": np.repeat(values[:m], n), "node": np.tile(ids, m), "v": vectors[:, :m].T.ravel()}
+
+    return per_graph_edges(graph, kernel, "mode int, eigenvalue double, node int, v double")
+
+
 def modes(spectrum: DataFrame) -> DataFrame:
     return spectrum.groupBy("graph_id", "mode").agg(F.first("eigenvalue").alias("eigenvalue"))
 
@@ -446,6 +469,18 @@ def denoise_variation(graph: Graph, signals: DataFrame, lam: float = 0.1, **opti
     return per_signal(graph, signals, lambda a, x: variation_ista(a, x, lam, **options))
 
 
+def denoise_all(graph: Graph, signals: DataFrame, *, method: str = "tikhonov", alpha: float = 1.0, time: float = 1.0) -> DataFrame:
+    """Every signal by one method: tikhonov, heat or wavelet (default scales and thresholds)."""
+    if method == "tikhonov":
+        return tikhonov(graph, signals, alpha)
+    if method == "heat":
+        return heat_smooth(graph, signals, time)
+    if method == "wavelet":
+        spectrum = decompose(graph)
+        return denoise_wavelet(spectrum, signals, default_scales(spectrum))
+    raise GraphError(f"unknown method {method!r}")
+
+
 def denoising_report(graph: Graph, signals: DataFrame, smooth: DataFrame, *, alpha: float = 0.0) -> DataFrame:
     """(graph_id, signal, residual_norm, signal_norm, objective): half of |y - x|^2 plus half of alpha times y's Dirichlet energy."""
     d = signals.join(smooth.withColumnRenamed("value", "y"), [*ONE, "node"]).groupBy(*ONE).agg(F.sum((F.col("y") - F.col("value")) ** 2).alias("r"), F.sqrt(F.sum(F.col("value") ** 2)).alias("signal_norm"))

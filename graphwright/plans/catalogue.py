@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, transfers
-from ..operators import dynamics, flow, matrices, montecarlo, prepare, signals, spectral, stats, traversal, whatif
+from ..operators import dynamics, flow, matrices, montecarlo, prepare, signals, sparse, spectral, stats, traversal, whatif
 from ..streaming import transitions
 from . import extras, oracles
 from . import fixtures as fx
@@ -514,6 +514,12 @@ for _method in ("spectral", "chebyshev", "lanczos"):
     query(_taylor(0.1, 40, SEED, f"SELECT node::BIGINT AS node, {rd('sum(x)')} AS value FROM it GROUP BY node"), f"heat_smooth_{_method}")(lambda spark, sf, m=_method: out(spectral.heat_smooth(fx.nations(spark, sf), dynamics.seeds(fx.nations(spark, sf)), 0.1, m), "node", "value"))
 
 
+@query(_taylor(0.1, 40, SEED, f"SELECT node::BIGINT AS node, {rd('sum(x)')} AS value FROM it GROUP BY node"))
+def heat_smooth_joined(spark, sf):
+    g = fx.nations(spark, sf)
+    return out(sparse.heat_smooth_joined(g, dynamics.seeds(g), 0.1), "node", "value")
+
+
 @query(_taylor(0.1, 40, SEED, f"SELECT {rd('sum(x) FILTER (node = 0)')} AS value FROM it"))
 def heat_kernel_signature(spark, sf):
     return out(spectral.heat_signature(spectral.decompose(fx.nations(spark, sf)), [0.1]).where("node = 0"), "value")

@@ -194,6 +194,11 @@ def task(*names: str) -> Callable:
     return add
 
 
+def task_kinds() -> list[str]:
+    """Names that a task's kind may have."""
+    return sorted(TASKS)
+
+
 def vector_metrics(df: DataFrame) -> dict:
     v = F.col("value")
     return df.agg(F.count("*").alias("n"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(F.abs(v)).alias("l1"), F.sqrt(F.sum(v * v)).alias("l2")).first().asDict()
