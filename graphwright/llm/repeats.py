@@ -3,20 +3,24 @@
 Every text is a sequence of symbols (bytes or words). A window is `width` symbols of one text. The window's
 trigger is the `gram`-symbol string of least rolling hash inside it (leftmost on ties), so it depends on the window's
 content only, and every window has one. A phrase is a maximal run of windows with one trigger, with all
-symbols these cover: texts become a parse, a sequence of phrases, over a dictionary of distinct phrases. Equal
+bytes these cover: texts become a parse, a sequence of phrases, over a dictionary of distinct phrases. Equal
 passages have equal phrases but for those at their edges. Three exchanges settle each window exactly:
 
 1. Phrases, counted by (trigger, phrase) fingerprint: a phrase that an earlier document has is covered whole.
-2. A trigger with several distinct phrases may stand in windows that only some of them share. Those dictionary
-   phrases, once each, are opened into windows, which are grouped by fingerprint: equal windows form the runs that a
-   suffix order of depth `width` would give. No suffix array is built.
+2. A trigger with several distinct phrases may stand in windows that only some of them share. Those phrases travel with their bytes
+   and become a dictionary, each once. The suffix array of the dictionary, by letter and to a depth of `width` bytes, puts equal windows
+   side by side; the parse says which documents have each phrase. A window never leaves its phrase, so of the parse's own order
+   only the earliest document of each phrase is asked: the least one over a run of equal windows decides for all of the run.
 3. The verdicts return to the block of documents that asked; runs of covered symbols merge into maximal spans.
 
-Phrases are told apart by bucket number and 48 bits each of trigger and phrase hashes; opened windows by one 64-bit hash, from which both
-48-bit parts that travel derive: n of them match falsely at a chance of about n^2 / 2^65. Rows that travel are blobs of
-one block for one bucket, with each fingerprint once per block, so a passage that a third of all documents share brings one
-entry a block; no group is ever collected whole, and nothing is broadcast. Documents are dealt once by block; the
-same exchange serves all passes.
+Equal windows have equal triggers, so the dictionary is dealt by trigger. A trigger with over HOT distinct phrases (the edge of a passage
+that a large part of all documents has) has its windows dealt singly instead, by their own hash, so that they spread over all tasks;
+they are ordered by the same code with the same result.
+
+Phrases are told apart by bucket number and 48 bits each of trigger and phrase hashes (n phrases match falsely at a chance of about n^2 / 2^97);
+windows of the dictionary are compared by their bytes. Rows that travel are blobs of one block for one bucket, with each phrase
+once per block, so a passage that a third of all documents share brings one entry a block for each phrase inside it; its edges bring 20
+bytes a block for each distinct phrase to one bucket. Nothing is broadcast. Documents are dealt once by block; the same exchange serves all passes.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ NO_ID = (1 << 63) - 1
 #: Bytes of text in a block; a block is what one Python task holds at a time.
 BLOCK_BYTES = 3 << 20
 MIN_BLOCKS = 48
+#: Distinct phrases of a trigger up to which its dictionary is sorted in one task.
+HOT = 1 << 14
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:
@@ -225,7 +231,7 @@ def of48(data: memoryview, n: int) -> np.ndarray:
 #: Rows between passes: where they go, from which block, what they are, and arrays.
 PACKET = "dest int, block int, kind int, n int, body binary"
 _SCHEMA = pa.schema([("dest", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
-ASK_PHRASE, ASK_WINDOW, COVERED, PENDING, SHARED = range(5)
+ASK_PHRASE, ASK_WINDOW, COVERED, PENDING, SHARED, SINGLY = range(6)
 
 
 def packets(rows: list[tuple]) -> pa.Table:
@@ -249,10 +255,10 @@ def phrase_order(parse: Phrases, first: np.ndarray, doc: np.ndarray, buckets: in
         yield to, rows[np.argsort(doc[rows], kind="stable")]
 
 
-def ask_phrases(symbols: Callable, width: int, gram: int, buckets: int) -> Callable:
+def ask_phrases(width: int, gram: int, buckets: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         ids, texts = ordered(table)
-        parse = Phrases(texts, symbols, width, gram)
+        parse = Phrases(texts, byte_symbols, width, gram)
         first, _ = distinct(parse.trigger, parse.phrase)
         block, out = table["block"][0].as_py(), []
         doc = ids[parse.doc[first]]
@@ -264,14 +270,12 @@ def ask_phrases(symbols: Callable, width: int, gram: int, buckets: int) -> Calla
     return run
 
 
-def gathered(table: pa.Table, extra: int = 0) -> tuple:
-    """Both fingerprints, id, packet and place in it of all that packets ask, and as many more columns as extra says."""
-    columns: list[list] = [[] for _ in range(5 + extra)]
+def gathered(table: pa.Table) -> tuple:
+    """Both fingerprints, id, packet and place in it of all that packets ask."""
+    columns: list[list] = [[] for _ in range(5)]
     for i, (n, body) in enumerate(zip(table["n"].to_pylist(), table["body"], strict=True)):
         view = memoryview(body.as_buffer())
-        got = [of48(view, n), of48(view[6 * n :], n), np.cumsum(unplanes(view[12 * n : 20 * n], n)), np.full(n, i, np.int32), np.arange(n)]
-        got += [unplanes(view[20 * n + 8 * k * n : 28 * n + 8 * k * n], n) for k in range(extra)]
-        for c, x in zip(columns, got, strict=True):
+        for c, x in zip(columns, (of48(view, n), of48(view[6 * n :], n), np.cumsum(unplanes(view[12 * n : 20 * n], n)), np.full(n, i, np.int32), np.arange(n)), strict=True):
             c.append(x)
     return tuple(np.concatenate(c) for c in columns)
 
@@ -282,30 +286,34 @@ def grouped(source: np.ndarray) -> Iterator[np.ndarray]:
     return iter(np.split(order, np.flatnonzero(np.diff(source[order])) + 1) if len(order) else ())
 
 
-def settle_phrases(table: pa.Table) -> pa.Table:
-    """For each asked phrase: whether an earlier document has it; whether its windows must be opened. Replies name the bucket and places in its packet."""
-    table = table.combine_chunks()
-    trigger, phrase, doc, source, place = gathered(table)
-    blocks, bucket = table["block"].to_numpy(), table["dest"][0].as_py()
-    order = np.lexsort((doc, phrase, trigger))
-    t, p, d = trigger[order], phrase[order], doc[order]
-    new_t = np.ones(len(t), bool)
-    new_t[1:] = t[1:] != t[:-1]
-    new_p = new_t.copy()
-    new_p[1:] |= p[1:] != p[:-1]
-    heads = np.flatnonzero(new_p)
-    least = d[heads]  # the earliest document of each phrase
-    number = np.cumsum(new_p) - 1
-    covered = d > least[number]
-    of_trigger = np.flatnonzero(new_t[heads])
-    low, high = np.minimum.reduceat(least, of_trigger), np.maximum.reduceat(least, of_trigger)
-    opened = heads[np.repeat(low < high, np.diff(np.append(of_trigger, len(heads))))]
-    out = []
-    for kind, rows in ((COVERED, order[covered]), (PENDING, order[opened])):
-        for k in grouped(source[rows]):
-            block = int(blocks[source[rows[k[0]]]])
-            out.append((block, bucket, kind, len(k), np.sort(place[rows[k]]).astype("<u4").tobytes()))
-    return packets(out)
+def settle_phrases(hot: int) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        """For each asked phrase: whether an earlier document has it; whether its windows must be compared, and whether singly. Replies name the bucket and places in its packet."""
+        table = table.combine_chunks()
+        trigger, phrase, doc, source, place = gathered(table)
+        blocks, bucket = table["block"].to_numpy(), table["dest"][0].as_py()
+        order = np.lexsort((doc, phrase, trigger))
+        t, p, d = trigger[order], phrase[order], doc[order]
+        new_t = np.ones(len(t), bool)
+        new_t[1:] = t[1:] != t[:-1]
+        new_p = new_t.copy()
+        new_p[1:] |= p[1:] != p[:-1]
+        heads = np.flatnonzero(new_p)
+        least = d[heads]  # the earliest document of each phrase
+        number = np.cumsum(new_p) - 1
+        covered = d > least[number]
+        of_trigger = np.flatnonzero(new_t[heads])
+        low, high = np.minimum.reduceat(least, of_trigger), np.maximum.reduceat(least, of_trigger)
+        size = np.diff(np.append(of_trigger, len(heads)))
+        opened, many = heads[np.repeat(low < high, size)], heads[np.repeat((low < high) & (size > hot), size)]
+        out = []
+        for kind, rows in ((COVERED, order[covered]), (PENDING, order[opened]), (SINGLY, order[many])):
+            for k in grouped(source[rows]):
+                block = int(blocks[source[rows[k[0]]]])
+                out.append((block, bucket, kind, len(k), np.sort(place[rows[k]]).astype("<u4").tobytes()))
+        return packets(out)
+
+    return run
 
 
 def expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -316,88 +324,132 @@ def expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(start - (ends - count), count)
 
 
-def open_windows(symbols: Callable, width: int, gram: int, buckets: int) -> Callable:
+def open_phrases(width: int, gram: int, buckets: int) -> Callable:
     def run(key: tuple, table: pa.Table, verdicts: pa.Table) -> pa.Table:
         if not table.num_rows:
             return packets([])
         block, (ids, texts) = table["block"][0].as_py(), ordered(table)
-        parse = Phrases(texts, symbols, width, gram)
+        parse = Phrases(texts, byte_symbols, width, gram)
         first, number = distinct(parse.trigger, parse.phrase)
         orders = dict(phrase_order(parse, first, ids[parse.doc[first]], buckets))
-        flags = {COVERED: np.zeros(len(first), bool), PENDING: np.zeros(len(first), bool)}
+        flags = {k: np.zeros(len(first), bool) for k in (COVERED, PENDING, SINGLY)}
         for bucket, kind, body in zip(*(verdicts[c].to_pylist() for c in ("block", "kind", "body")), strict=True):
             flags[kind][orders[bucket][np.frombuffer(body, "<u4")]] = True
         doc = ids[parse.doc]
         covered = flags[COVERED][number] | (doc > doc[first][number])
-        shared = [(parse.doc[covered], parse.start[covered], parse.count[covered].astype(np.int64) + width - 1)]
-        asked, out, home = np.flatnonzero(flags[PENDING][number] & ~covered), [], block % buckets
-        if len(asked):
-            prints = np.concatenate([window_prints(texts, symbols, parse, part, width) for part in np.array_split(asked, 1 + len(asked) // 4096)])
-            where = np.repeat(asked, parse.count[asked])
-            row, at = parse.doc[where].astype(np.int64), expand(parse.start[asked], parse.count[asked])
-            one, each = distinct(prints)
-            later = doc[where[one]][each] < doc[where]
-            shared.append((row[later], at[later], np.full(later.sum(), width)))
-            again = np.flatnonzero(~later & (one[each] != np.arange(len(each))))  # within one document
-            if len(again):
-                out.append((home, block, PENDING, len(again), b"".join(planes(x) for x in (row[one[each[again]]], at[one[each[again]]], row[again], at[again]))))
-            keys = prints[one]
-            for to, rows in spread(keys, buckets):
-                rows = rows[np.lexsort((at[one[rows]], row[one[rows]]))]
-                k, w = keys[rows], one[rows]
-                body = low48(k) + low48(mix(k + U64(1))) + b"".join(planes(np.diff(x, prepend=0)) for x in (doc[where[w]], row[w], at[w]))
-                out.append((to, block, ASK_WINDOW, len(rows), body))
-        spans = merged(*(np.concatenate(x) for x in zip(*shared, strict=True)))
+        spans = merged(parse.doc[covered], parse.start[covered], parse.count[covered].astype(np.int64) + width - 1)
+        out, home = [], block % buckets
         if len(spans[0]):
             out.append((home, block, SHARED, len(spans[0]), b"".join(planes(np.diff(x, prepend=0)) for x in spans)))
+        asked = flags[PENDING] & ~flags[COVERED]
+        # a phrase asks from its first place; its other places in that document follow
+        others = np.flatnonzero(asked[number] & ~covered)
+        others = others[others != first[number[others]]]
+        if len(others):
+            origin, each = first[number[others]], np.where(flags[SINGLY][number[others]], parse.count[others], 1)
+            step = expand(np.zeros(len(others), np.int64), each)
+            again = [np.repeat(x, each) for x in (parse.doc[origin], parse.start[origin], parse.doc[others], parse.start[others])]
+            out.append((home, block, PENDING, len(step), planes(again[0]) + planes(again[1] + step) + planes(again[2]) + planes(again[3] + step)))
+        for singly in (False, True):
+            p = first[asked & (flags[SINGLY] == singly)]
+            for part in np.array_split(p, 1 + len(p) // (1 << 14)) if singly else [p]:
+                out += asked_windows(block, ids, texts, parse, part, width, buckets, singly)
         return packets(out)
 
     return run
 
 
-def window_prints(texts: pa.Array, symbols: Callable, parse: Phrases, asked: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints of all windows of these phrases, phrase by phrase."""
-    parts, last, held = [], -1, None
-    for i in asked:
-        if parse.doc[i] != last:
-            last = parse.doc[i]
-            held = symbols(raw(texts, int(last)))
-        parts.append(held[parse.start[i] : parse.start[i] + parse.count[i] + width - 1])
-    sizes = np.array([len(x) for x in parts])
-    values = Rolling(as_u64(np.concatenate(parts)), width).at(width, expand(np.cumsum(sizes) - sizes, sizes - width + 1))
-    return mix(values, values)
-
-
-def settle_windows(table: pa.Table) -> pa.Table:
-    """For each asked window: whether an earlier document has it. Other packets pass."""
-    table = table.combine_chunks()
-    kinds = table["kind"].to_numpy()
-    passed = table.filter(pa.array(kinds != ASK_WINDOW))
-    passed = passed.set_column(0, "dest", passed["block"]).cast(_SCHEMA)
-    asked = table.filter(pa.array(kinds == ASK_WINDOW))
-    if not asked.num_rows:
-        return passed
-    a, b, doc, source, place, row, at = gathered(asked, 2)
-    blocks = asked["block"].to_numpy()
-    starts = np.cumsum(np.bincount(source)) - np.bincount(source)
-    row, at = (totals(x, starts, source) for x in (row, at))
-    order = np.lexsort((doc, b, a))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
-    d = doc[order]
-    later = order[d > d[np.flatnonzero(new)][np.cumsum(new) - 1]]
+def asked_windows(block: int, ids: np.ndarray, texts: pa.Array, parse: Phrases, asked: np.ndarray, width: int, buckets: int, singly: bool) -> list[tuple]:
+    """Packets of phrases (singly: of each of their windows) with id, row and place, count of windows, and bytes."""
+    if not len(asked):
+        return []
+    row, at, count = parse.doc[asked].astype(np.int64), parse.start[asked], parse.count[asked].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    begin = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset :][row] + at
+    if singly:
+        size = count + width - 1
+        keys = Rolling(as_u64(data[expand(begin, size)]), width).at(width, expand(np.cumsum(size) - size, count))
+        keys = mix(keys, keys)
+        row, at, begin, count = np.repeat(row, count), expand(at, count), expand(begin, count), np.ones(len(keys), np.int64)
+    else:
+        keys = parse.trigger[asked]
     out = []
-    for k in grouped(source[later]):
-        rows = np.sort(later[k])
-        block = int(blocks[source[rows[0]]])
-        out.append((block, block, COVERED, len(rows), b"".join(planes(np.diff(x[rows], prepend=0)) for x in (row, at))))
-    return pa.concat_tables([passed, packets(out)])
-
+    for to, rows in spread(keys, buckets):
+        rows = rows[np.lexsort((at[rows], row[rows]))]
+        body = b"".join(planes(np.diff(x[rows], prepend=0)) for x in (ids[row], row, at)) + planes(count[rows])
+        out.append((to, block, ASK_WINDOW, len(rows), body + data[expand(begin[rows], count[rows] + width - 1)].tobytes()))
+    return out
+
+
+def suffix_array(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of starts in the order of the `depth` bytes there, by letter, and whether each differs from the one before.
+
+    Suffixes are sorted by eight bytes at a time, read as a number; those still tied go on to the next eight.
+    """
+    step = min(8, depth)
+    word, padded = np.zeros(len(data), U64), np.append(data, np.zeros(step, np.uint8))
+    for k in range(step):
+        word = word << U64(8) | padded[k : k + len(data)]
+    key = word[starts]
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    for offset in [*range(step, depth - step + 1, step), *([depth - step] if depth % step else [])]:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        key = word[starts[order[at]] + offset]
+        by = np.lexsort((key, np.cumsum(new)[at]))
+        order[at], key = order[at[by]], key[by]
+        new[at[1:]] |= key[1:] != key[:-1]
+    return order, new
+
+
+def settle_windows(width: int) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        """For each asked phrase: the runs of its windows that an earlier document has. Other packets pass."""
+        table = table.combine_chunks()
+        kinds = table["kind"].to_numpy()
+        passed = table.filter(pa.array(kinds != ASK_WINDOW))
+        passed = passed.set_column(0, "dest", passed["block"]).cast(_SCHEMA)
+        asked = table.filter(pa.array(kinds == ASK_WINDOW))
+        if not asked.num_rows:
+            return passed
+        numbers: dict[bytes, int] = {}  # the dictionary
+        columns: list[list] = [[] for _ in range(5)]
+        parse: list[int] = []
+        for i, (n, body) in enumerate(zip(asked["n"].to_pylist(), asked["body"].to_pylist(), strict=True)):
+            x = [unplanes(body[8 * k * n : 8 * (k + 1) * n], n) for k in range(4)]
+            for c, y in zip(columns, (*map(np.cumsum, x[:3]), x[3], np.full(n, i, np.int32)), strict=True):
+                c.append(y)
+            ends = (32 * n + np.cumsum(x[3] + width - 1)).tolist()
+            parse += [numbers.setdefault(body[s:e], len(numbers)) for s, e in zip([32 * n, *ends[:-1]], ends, strict=True)]
+        doc, row, at, count, source = (np.concatenate(c) for c in columns)
+        phrase = np.array(parse)
+        least = np.full(len(numbers), NO_ID)
+        np.minimum.at(least, phrase, doc)
+        size = np.array([len(x) for x in numbers])
+        windows = size - width + 1
+        order, new = suffix_array(np.frombuffer(b"".join(numbers), np.uint8), expand(np.cumsum(size) - size, windows), width)
+        of = np.repeat(least, windows)
+        earliest = np.empty(len(of), np.int64)
+        earliest[order] = np.minimum.reduceat(of[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        owner, offset = np.repeat(np.arange(len(doc)), count), expand(np.zeros(len(doc), np.int64), count)
+        hit = earliest[(np.cumsum(windows) - windows)[phrase][owner] + offset] < doc[owner]
+        apart = np.append(owner[1:] != owner[:-1], True)
+        begin, end = hit.copy(), hit & (apart | ~np.append(hit[1:], False))
+        begin[1:] &= apart[:-1] | ~hit[:-1]
+        begin, end = np.flatnonzero(begin), np.flatnonzero(end)
+        p, offset, runs = owner[begin], offset[begin], end - begin + 1
+        blocks, out = asked["block"].to_numpy(), []
+        for k in grouped(source[p]):
+            block = int(blocks[source[p[k[0]]]])
+            out.append((block, block, COVERED, len(k), b"".join(planes(np.diff(x[p[k]], prepend=0)) for x in (row, at)) + planes(offset[k]) + planes(runs[k])))
+        return pa.concat_tables([passed, packets(out)])
 
-def totals(x: np.ndarray, starts: np.ndarray, source: np.ndarray) -> np.ndarray:
-    """Running sums that start anew with each packet."""
-    sums = np.cumsum(x)
-    return sums - (sums[starts] - x[starts])[source]
+    return run
 
 
 def merged(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -424,21 +476,23 @@ def spans_of(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
         if kind == PENDING:
             again.append(np.array(x))
             continue
-        x = [np.cumsum(c) for c in x]
+        x[:2] = [np.cumsum(c) for c in x[:2]]
         if kind == SHARED:
-            found.append((x[0], x[1], x[2] - x[1]))
+            found.append((x[0], x[1], np.cumsum(x[2]) - x[1]))
         else:
             hits.append(np.array(x))
-            found.append((x[0], x[1], np.full(n, width)))
+            found.append((x[0], x[1] + x[2], x[3] + width - 1))
     if again and hits:
         a, h = np.concatenate(again, axis=1), np.concatenate(hits, axis=1)
         big = max(a[1].max(), h[1].max()) + 1
-        hit = np.isin(a[0] * big + a[1], h[0] * big + h[1])
-        found.append((a[2][hit], a[3][hit], np.full(hit.sum(), width)))
+        h = h[:, np.argsort(h[0] * big + h[1], kind="stable")]
+        low, high = (np.searchsorted(h[0] * big + h[1], a[0] * big + a[1], side=x) for x in ("left", "right"))
+        to, of = np.repeat(np.arange(len(low)), high - low), expand(low, high - low)
+        found.append((a[2][to], a[3][to] + h[2][of], h[3][of] + width - 1))
     return merged(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else merged(*[np.zeros(0, np.int64)] * 3)
 
 
-def remove_repeats(docs: DataFrame, finish: Callable, schema: str, *, symbols: Callable, width: int, gram: int, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, finish: Callable, schema: str, *, width: int, gram: int, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """finish(ids, texts, spans) makes the rows of a block; spans(i) gives starts and ends of covered symbols of row i."""
     blocks, n = dealt(docs, doc_id, text, block_bytes)
     by_block = blocks.groupBy("block")
@@ -449,8 +503,8 @@ def remove_repeats(docs: DataFrame, finish: Callable, schema: str, *, symbols: C
         edge = np.searchsorted(doc, np.arange(len(ids) + 1))
         return finish(ids, texts, lambda i: (start[edge[i] : edge[i + 1]], end[edge[i] : edge[i + 1]]))
 
-    asked = by_block.applyInArrow(ask_phrases(symbols, width, gram, n), PACKET)
-    first = asked.groupBy("dest").applyInArrow(settle_phrases, PACKET)
-    opened = by_block.cogroup(first.groupBy("dest")).applyInArrow(open_windows(symbols, width, gram, n), PACKET)
-    second = opened.groupBy("dest").applyInArrow(settle_windows, PACKET)
+    asked = by_block.applyInArrow(ask_phrases(width, gram, n), PACKET)
+    first = asked.groupBy("dest").applyInArrow(settle_phrases(hot), PACKET)
+    opened = by_block.cogroup(first.groupBy("dest")).applyInArrow(open_phrases(width, gram, n), PACKET)
+    second = opened.groupBy("dest").applyInArrow(settle_windows(width), PACKET)
     return by_block.cogroup(second.groupBy("dest")).applyInArrow(final, schema)

@@ -1,9 +1,10 @@
 """Suffix-array dedup by prefix-free parsing.
 
-Texts are parsed at rolling-hash triggers into phrases (see repeats): the dictionary of distinct phrases and the parse
-give the order of all suffixes of the corpus to a depth of `width` bytes, in which equal windows stand together. The depth
-is all that the removal needs, and the order within it is by fingerprint, not by letter: the runs of equal windows are
-the same. suffix_order() gives the full order by letter of a bounded set of texts from the same two arrays.
+Texts are parsed at rolling-hash triggers into phrases (see repeats): a dictionary of distinct phrases, and a parse that says which
+documents have them. The suffix array of the dictionary, to a depth of `width` bytes and by letter, puts equal windows of all phrases
+side by side, and the parse gives the earliest document of each run: all later ones lose these bytes.
+Phrases of triggers that no other document contests are settled whole and aren't sorted. suffix_order() gives the full order of a
+bounded set of texts from the same two arrays.
 
 Contract of remove_repeated_bytes: whole texts as UTF-8 (null: empty). A byte goes if a string of `width` bytes
 covers it that also starts in a document with a smaller id. Rows of one id don't remove each other; a null id counts as
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import BLOCK_BYTES, byte_symbols, raw, remove_repeats
+from .repeats import BLOCK_BYTES, HOT, raw, remove_repeats
 
 WIDTH = 50
 GRAM = 24
@@ -52,11 +53,11 @@ def _finish(digest: bool):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", digest: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", digest: bool = False, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), and the kept bytes with the spans, or their digest."""
     if not 1 <= gram <= width:
         raise ValueError("gram must be from 1 to width")
-    out = remove_repeats(docs, _finish(digest), DIGEST if digest else SCHEMA, symbols=byte_symbols, width=width, gram=gram, doc_id=doc_id, text=text, block_bytes=block_bytes)
+    out = remove_repeats(docs, _finish(digest), DIGEST if digest else SCHEMA, width=width, gram=gram, doc_id=doc_id, text=text, block_bytes=block_bytes, hot=hot)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")))
 
 

@@ -65,14 +65,14 @@ def covered(sequences, width):
     return out
 
 
-@pytest.mark.parametrize("width,gram,block", [(50, 24, 1 << 22), (50, 24, 4000), (12, 4, 4000)])
-def test_suffix_dedup(docs, width, gram, block):
+@pytest.mark.parametrize("width,gram,block,hot", [(50, 24, 1 << 22, 1 << 14), (50, 24, 4000, 1 << 14), (12, 4, 4000, 1 << 14), (12, 4, 4000, 0), (12, 4, 4000, 3), (5, 2, 4000, 2)])
+def test_suffix_dedup(docs, width, gram, block, hot):
     rows = plain(docs)
     want = []
     for (i, s), gone in zip(rows, covered(rows, width), strict=True):
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         want.append((i if i < 2**63 - 1 else None, len(s), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(s, gone, strict=True) if not g)).hexdigest()))
-    got = [tuple(r) for r in suffix_dedup.remove_repeated_bytes(docs, width=width, gram=gram, digest=True, block_bytes=block).collect()]
+    got = [tuple(r) for r in suffix_dedup.remove_repeated_bytes(docs, width=width, gram=gram, digest=True, block_bytes=block, hot=hot).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
@@ -89,6 +89,32 @@ def test_suffix_dedup_spans_and_long_texts(spark, monkeypatch):
         assert starts.tolist() == list(range(n - width + 1))
 
 
+@pytest.mark.parametrize("hot", [1, 1 << 14])
+def test_suffix_dedup_of_repetitive_texts(spark, hot):
+    """Phrases that recur in their own document, edges of one passage in many documents, and texts of one letter."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    passage = word(120)
+    rows = [(i, word(rng.randint(0, 60)) + passage + word(rng.randint(0, 60)) + (passage[20:90] if i % 7 == 0 else "")) for i in range(80)]
+    rows += [(100, "a" * 300), (101, "b" + "a" * 200 + "c"), (102, "ab" * 90), (103, "ba" * 100 + passage[:70] + "ba" * 40), (103, "ab" * 60), (None, "a" * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r.doc_id, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeated_bytes(docs, digest=True, block_bytes=2000, hot=hot).collect()]
+    rows = plain(docs)
+    want = [(i if i < 2**63 - 1 else None, sum(g), hashlib.sha256(bytes(c for c, x in zip(s, g, strict=True) if not x)).hexdigest()) for (i, s), g in zip(rows, covered(rows, 50), strict=True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("depth", [1, 5, 8, 11, 16, 50])
+def test_suffix_array(depth):
+    data = np.random.default_rng(depth).choice(np.frombuffer(b"ab\xff\0", np.uint8), 400).astype(np.uint8)
+    data[200:300] = data[40:140]
+    starts = np.arange(len(data) - depth + 1)
+    order, new = repeats.suffix_array(data, starts, depth)
+    found = [data[i : i + depth].tobytes() for i in order.tolist()]
+    assert found == sorted(found) and len(set(order.tolist())) == len(starts)
+    assert new.tolist() == [True] + [a != b for a, b in zip(found, found[1:])]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_suffix_order(seed):
     rng = random.Random(seed)
